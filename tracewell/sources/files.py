@@ -6,9 +6,12 @@ that fail them are left out when the scan is planned and never opened.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracewell import schemas
 
@@ -52,13 +55,18 @@ def _reader(spark: SparkSession, pattern: str | None, recurse: bool) -> DataFram
     return reader.option("pathGlobFilter", pattern) if pattern else reader
 
 
-def _or_empty(load, spark: SparkSession, schema) -> DataFrame:
-    """A source folder that does not exist yet is an empty source."""
+def empty(spark: SparkSession, ddl: str) -> DataFrame:
+    columns = StructType.fromDDL(ddl).fields
+    return spark.range(0).select(*(F.lit(None).cast(c.dataType).alias(c.name) for c in columns))
+
+
+def or_empty(load: Callable[[], DataFrame], spark: SparkSession, ddl: str) -> DataFrame:
+    """A folder that does not exist yet is an empty source."""
     try:
         return load()
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
+            return empty(spark, ddl)
         raise
 
 
@@ -93,7 +101,7 @@ def read_lines(
             "value",
         )
 
-    return _or_empty(load, spark, schemas.LINES)
+    return or_empty(load, spark, schemas.LINES)
 
 
 def read_files(
@@ -112,7 +120,7 @@ def read_files(
             "value",
         )
 
-    return _or_empty(load, spark, schemas.FILES)
+    return or_empty(load, spark, schemas.FILES)
 
 
 def list_files(
@@ -130,7 +138,7 @@ def list_files(
             F.col("length").alias("file_size"),
         )
 
-    return _or_empty(load, spark, "file_path string, mtime_ms bigint, file_size bigint")
+    return or_empty(load, spark, "file_path string, mtime_ms bigint, file_size bigint")
 
 
 def list_newer(
