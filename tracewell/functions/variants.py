@@ -24,6 +24,15 @@ def document(parsed: Column) -> Column:
     return F.when(mark == END, F.try_variant_get(parsed, "$[0]", "variant"))
 
 
+def documents(text: Column) -> Column:
+    """``document(parse_exact(text))`` as an array of one, to be exploded.
+
+    Exploding keeps the parse below a generator. A filter on the result cannot
+    be pushed into it, where it would parse the text again for every mention.
+    """
+    return F.transform(F.array(parse_exact(text)), document)
+
+
 def fields(value: Column, *names: str) -> Column:
     """Fields of an object as a struct of variants; NULL if the value is no object.
 

@@ -22,6 +22,9 @@ USAGE = {
     "cache_read_tokens": "cache_read_input_tokens",
     "cache_write_tokens": "cache_creation_input_tokens",
 }
+TOP = (
+    "type", "uuid", "parentUuid", "sessionId", "cwd", "version", "gitBranch", "timestamp", "isSidechain", "message",
+)
 SNAPSHOT = "file-history-snapshot"
 
 
@@ -38,32 +41,22 @@ def parse_records(lines: DataFrame, include_string_content: bool = False) -> Dat
     Blank lines, malformed JSON, snapshots and records without uuid are dropped.
     ``include_string_content`` also makes plain string content searchable.
     """
-    parsed = lines.select(
-        "file_path",
-        "mtime_ms",
-        F.struct("block_start", "line_id").alias("pos"),
-        F.is_valid_utf8("value").alias("readable"),
-        V.parse_exact(F.col("value")).alias("doc"),
+    readable = F.is_valid_utf8("value")
+    tops = F.transform(
+        V.documents(F.col("value")), lambda rec: F.struct(rec.isNotNull().alias("is_json"), V.fields(rec, *TOP).alias("r"))
     )
-    records = parsed.select("*", V.document(F.col("doc")).alias("rec")).where(
-        F.col("rec").isNotNull() | ~F.col("readable")
-    )
-    top = records.select(
+
+    def is_kept(x: Column) -> Column:
+        record = ~V.text(x["r"]["type"]).eqNullSafe(SNAPSHOT) & V.is_truthy(x["r"]["uuid"])
+        return ~readable | (x["is_json"] & (x["r"].isNull() | record))
+
+    kept = lines.select(
         "file_path",
         "mtime_ms",
-        "pos",
-        "readable",
-        V.fields(
-            F.col("rec"),
-            *("type", "uuid", "parentUuid", "sessionId", "cwd", "version", "gitBranch"),
-            *("timestamp", "isSidechain", "message"),
-        ).alias("r"),
-    )
-    kept = top.where(
-        ~F.col("readable")
-        | F.col("r").isNull()
-        | (~V.text(F.col("r.type")).eqNullSafe(SNAPSHOT) & V.is_truthy(F.col("r.uuid")))
-    )
+        F.struct("block_start", "line_id").alias("pos"),
+        readable.alias("readable"),
+        F.explode(F.filter(tops, is_kept)).alias("x"),
+    ).select("file_path", "mtime_ms", "pos", "readable", "x.r")
     message = kept.select(
         "*",
         V.fields(F.col("r.message"), "role", "model", "stop_reason", "usage", "content").alias("m"),

@@ -74,6 +74,16 @@ def _meta(field: str) -> Column:
     return F.col(f"{META}.{field}")
 
 
+def line_source() -> list[Column]:
+    """Where a line comes from, except its place within the split."""
+    return [
+        plain_path(_meta("file_path")).alias("file_path"),
+        F.unix_millis(_meta("file_modification_time")).alias("mtime_ms"),
+        _meta("file_size").alias("file_size"),
+        _meta("file_block_start").alias("block_start"),
+    ]
+
+
 def read_lines(
     spark: SparkSession,
     root: str,
@@ -91,15 +101,8 @@ def read_lines(
         text = reader.text(root)
         if keep is not None:
             text = text.where(keep)
-        return text.select(
-            plain_path(_meta("file_path")).alias("file_path"),
-            F.unix_millis(_meta("file_modification_time")).alias("mtime_ms"),
-            _meta("file_size").alias("file_size"),
-            _meta("file_block_start").alias("block_start"),
-            # rises within a split; splits of one file are told apart by block_start
-            F.monotonically_increasing_id().alias("line_id"),
-            "value",
-        )
+        # line_id rises within a split; splits of one file are told apart by block_start
+        return text.select(*line_source(), F.monotonically_increasing_id().alias("line_id"), "value")
 
     return or_empty(load, spark, schemas.LINES)
 
