@@ -44,11 +44,13 @@ def split_by_feed(spark, sf):
 
 
 def line_numbers(spark, sf):
-    return numbering.number_lines(src.document_lines(spark, sf)).drop("value")
+    return numbering.number_lines(src.document_lines(spark, sf)).select("file_path", "doc_id", "i", "line_no")
 
 
 def line_offsets(spark, sf):
-    return numbering.byte_offsets(src.document_lines(spark, sf)).drop("value")
+    return numbering.byte_offsets(src.document_lines(spark, sf)).select(
+        "file_path", "doc_id", "i", "offset", "end_offset"
+    )
 
 
 def parsed_records(spark, sf):
@@ -132,8 +134,8 @@ def replaced_messages(spark, sf):
     return flat(current.select("session_id", "uuid", "type", "timestamp", "input_tokens", "text_content"))
 
 
-def _synced(spark, sf) -> Warehouse:
-    """The same two syncs, written, committed and compacted in between."""
+def _synced(spark, sf, compact_between: bool = False) -> Warehouse:
+    """The same two syncs, written and committed."""
     wh = Warehouse(spark, scratch_dir(spark, "tables"))
     state: dict[str, SourceState] = {}
     for turn in (EARLIER_TURN, None):
@@ -149,13 +151,13 @@ def _synced(spark, sf) -> Warehouse:
             old = state.get(source, SourceState())
             state[source] = old.advanced(r.n, rows.get(r.sub, 0), NOW, mtime_ms=r.newest)
         wh.commit(state)
-        if turn is not None:
+        if compact_between and turn is not None:
             wh.compact()
     return wh
 
 
 def synced_sessions(spark, sf):
-    return flat(_synced(spark, sf).table("sessions").select(*SESSION_COLUMNS))
+    return flat(_synced(spark, sf, compact_between=True).table("sessions").select(*SESSION_COLUMNS))
 
 
 def sync_state(spark, sf):

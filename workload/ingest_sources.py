@@ -141,9 +141,10 @@ def document_lines(spark: SparkSession, sf: str) -> DataFrame:
     doc = F.col("doc_id")
     return table(spark, sf, "documents").select(
         F.concat(F.lit("/src/"), F.col("source"), F.lit(".txt")).alias("file_path"),
-        doc.alias("block_start"),
-        F.posexplode(F.split("text", "\n")).alias("line_id", "value"),
-    )
+        F.floor(doc / 1000).alias("block_start"),
+        doc.alias("doc_id"),
+        F.posexplode(F.split("text", "\n")).alias("i", "value"),
+    ).withColumn("line_id", F.col("doc_id") * 1_000_000 + F.col("i"))
 
 
 def hook_lines(spark: SparkSession, sf: str) -> DataFrame:

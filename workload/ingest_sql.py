@@ -137,10 +137,10 @@ ORACLE = {
       SELECT CASE WHEN sub THEN 'subagents' ELSE 'sessions' END AS feed, regexp_replace(file_path, '/[^/]*$', '') AS folder,
         CAST(sum(CASE WHEN factor = 2 THEN 1 WHEN turn % 4 IN (2, 3) THEN 2 ELSE 1 END) AS BIGINT) AS lines
       FROM recs GROUP BY 1, 2""",
-    "i03_line_numbers": f"""SELECT concat('/src/', source, '.txt') AS file_path, doc_id AS block_start, CAST(i AS INTEGER) AS line_id,
+    "i03_line_numbers": f"""SELECT concat('/src/', source, '.txt') AS file_path, doc_id, CAST(i AS INTEGER) AS i,
         row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS line_no FROM {LINES}""",
-    "i03_line_offsets": f"""SELECT file_path, block_start, line_id, end_offset, end_offset - size AS "offset" FROM (
-        SELECT concat('/src/', source, '.txt') AS file_path, doc_id AS block_start, CAST(i AS INTEGER) AS line_id,
+    "i03_line_offsets": f"""SELECT file_path, doc_id, i, end_offset, end_offset - size AS "offset" FROM (
+        SELECT concat('/src/', source, '.txt') AS file_path, doc_id, CAST(i AS INTEGER) AS i,
           CAST(strlen(line) + 1 AS BIGINT) AS size,
           CAST(sum(strlen(line) + 1) OVER (PARTITION BY source ORDER BY doc_id, i) AS BIGINT) AS end_offset FROM {LINES})""",
     "i04_parsed_records": f"""WITH {recs()}
