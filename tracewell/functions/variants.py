@@ -8,42 +8,40 @@ from pyspark.sql import functions as F
 END = "~end-of-document~"
 
 
-def parse_exact(text: Column) -> Column:
-    """The document as a one-element array with an end mark behind it.
-
-    The plain parser stops after the first value and ignores the rest. Behind
-    an end mark, leftovers break the array, so ``{"a":1} x`` fails to parse.
-    Read the result with ``document``.
-    """
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')))
-
-
-def document(parsed: Column) -> Column:
-    """The single value of ``parse_exact``; NULL if the text was not exactly one JSON value."""
-    mark = F.try_variant_get(parsed, "$[1]", "string")
-    return F.when(mark == END, F.try_variant_get(parsed, "$[0]", "variant"))
+# Where a document is found in what ``documents`` returns.
+ROOT = "$[0]"
 
 
 def documents(text: Column) -> Column:
-    """``document(parse_exact(text))`` as an array of one, to be exploded.
+    """The JSON document of a text in an array of one, to be exploded; NULL in it if the text is no JSON.
+
+    The plain parser stops after the first value and ignores the rest. Here the
+    text is wrapped in a list with an end mark behind it: leftovers break the
+    list, so ``{"a":1} x`` is no JSON. The document itself is at ``ROOT``.
 
     Exploding keeps the parse below a generator. A filter on the result cannot
     be pushed into it, where it would parse the text again for every mention.
     """
-    return F.transform(F.array(parse_exact(text)), document)
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')))
+    return F.transform(F.array(parsed), lambda p: F.when(F.try_variant_get(p, "$[1]", "string") == END, p))
+
+
+def value_at(value: Column, path: str) -> Column:
+    """What is at a path; a variant null for a JSON null, NULL if there is nothing."""
+    return F.try_variant_get(value, path, "variant")
 
 
-def fields(value: Column, *names: str) -> Column:
-    """Fields of an object as a struct of variants; NULL if the value is no object.
+def fields(value: Column, *names: str, path: str = "$") -> Column:
+    """Fields of the object at a path as a struct of variants; NULL if there is no object.
 
     A missing field is NULL, a JSON null is a variant null.
     """
-    return F.try_variant_get(value, "$", "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
+    return F.try_variant_get(value, path, "struct<" + ",".join(f"`{n}`:variant" for n in names) + ">")
 
 
-def elements(value: Column) -> Column:
-    """Items of a JSON array; NULL if the value is no array."""
-    return F.try_variant_get(value, "$", "array<variant>")
+def elements(value: Column, path: str = "$") -> Column:
+    """Items of the JSON array at a path; NULL if there is no array."""
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def text(value: Column) -> Column:

@@ -23,7 +23,7 @@ USAGE = {
     "cache_write_tokens": "cache_creation_input_tokens",
 }
 TOP = (
-    "type", "uuid", "parentUuid", "sessionId", "cwd", "version", "gitBranch", "timestamp", "isSidechain", "message",
+    "type", "uuid", "parentUuid", "sessionId", "cwd", "version", "gitBranch", "timestamp", "isSidechain",
 )
 SNAPSHOT = "file-history-snapshot"
 
@@ -42,38 +42,10 @@ def parse_records(lines: DataFrame, include_string_content: bool = False) -> Dat
     ``include_string_content`` also makes plain string content searchable.
     """
     readable = F.is_valid_utf8("value")
-    tops = F.transform(
-        V.documents(F.col("value")), lambda rec: F.struct(rec.isNotNull().alias("is_json"), V.fields(rec, *TOP).alias("r"))
-    )
 
     def is_kept(x: Column) -> Column:
         record = ~V.text(x["r"]["type"]).eqNullSafe(SNAPSHOT) & V.is_truthy(x["r"]["uuid"])
-        return ~readable | (x["is_json"] & (x["r"].isNull() | record))
-
-    kept = lines.select(
-        "file_path",
-        "mtime_ms",
-        F.struct("block_start", "line_id").alias("pos"),
-        readable.alias("readable"),
-        F.explode(F.filter(tops, is_kept)).alias("x"),
-    ).select("file_path", "mtime_ms", "pos", "readable", "x.r")
-    message = kept.select(
-        "*",
-        V.fields(F.col("r.message"), "role", "model", "stop_reason", "usage", "content").alias("m"),
-    ).select(
-        "*",
-        V.fields(F.col("m.usage"), *USAGE.values()).alias("u"),
-        V.elements(F.col("m.content")).alias("items"),
-    )
-    blocks = message.select(
-        "*",
-        F.transform(
-            "items",
-            lambda b, i: F.struct(
-                i.alias("idx"), V.fields(b, "type", "text", "name", "input").alias("o"), b.alias("raw")
-            ),
-        ).alias("blocks"),
-    )
+        return ~readable | (x["doc"].isNotNull() & (x["r"].isNull() | record))
 
     def kind(b: Column) -> Column:
         return F.when(b["o"]["type"].isNull(), F.lit("")).otherwise(V.text(b["o"]["type"]))
@@ -99,16 +71,51 @@ def parse_records(lines: DataFrame, include_string_content: bool = False) -> Dat
         bad_name = is_tool(b) & F.coalesce(V.is_nested(b["o"]["name"]), F.lit(False))
         return b["o"].isNotNull() & (bad_text | bad_name)
 
-    nested = blocks.select(
-        "*",
-        F.array_distinct(F.transform(F.filter("blocks", lambda b: b["o"].isNotNull()), kind)).alias("types"),
-        F.transform(F.filter("blocks", is_text), block_text).alias("texts"),
-        F.transform(F.filter("blocks", is_tool), tool).alias("tool_uses"),
-        F.exists("blocks", spoiled).alias("spoiled"),
-        F.when(F.col("items").isNull() & V.is_string(F.col("m.content")), V.text(F.col("m.content"))).alias(
-            "string_content"
-        ),
-    )
+    def top(doc: Column) -> Column:
+        return F.struct(doc.alias("doc"), V.fields(doc, *TOP, path=V.ROOT).alias("r"))
+
+    def block(b: Column, i: Column) -> Column:
+        return F.struct(i.alias("idx"), V.fields(b, "type", "text", "name", "input").alias("o"), b.alias("raw"))
+
+    def parts(x: Column) -> Column:
+        doc, message = x["doc"], f"{V.ROOT}.message"
+        return F.struct(
+            doc.alias("doc"),
+            x["r"].alias("r"),
+            V.fields(doc, "role", "model", "stop_reason", path=message).alias("m"),
+            V.fields(doc, *USAGE.values(), path=f"{message}.usage").alias("u"),
+            F.transform(V.elements(doc, f"{message}.content"), block).alias("blocks"),
+        )
+
+    def columns(x: Column) -> Column:
+        # absent is fine, there but no object is not
+        def wrong(found: Column, path: str) -> Column:
+            return F.when(found.isNull(), V.value_at(x["doc"], path).isNotNull()).otherwise(False)
+
+        content = V.value_at(x["doc"], f"{V.ROOT}.message.content")
+        return F.struct(
+            x["r"].alias("r"),
+            x["m"].alias("m"),
+            x["u"].alias("u"),
+            wrong(x["m"], f"{V.ROOT}.message").alias("bad_message"),
+            wrong(x["u"], f"{V.ROOT}.message.usage").alias("bad_usage"),
+            F.array_distinct(F.transform(F.filter(x["blocks"], lambda b: b["o"].isNotNull()), kind)).alias("types"),
+            F.transform(F.filter(x["blocks"], is_text), block_text).alias("texts"),
+            F.transform(F.filter(x["blocks"], is_tool), tool).alias("tool_uses"),
+            F.exists(x["blocks"], spoiled).alias("spoiled"),
+            F.when(x["blocks"].isNull(), F.when(V.is_string(content), V.text(content))).alias("string_content"),
+        )
+
+    # One list of at most one record per line, taken apart step by step below the
+    # generator, so that nothing is parsed or looked up twice.
+    records = F.filter(F.transform(V.documents(F.col("value")), top), is_kept)
+    nested = lines.select(
+        "file_path",
+        "mtime_ms",
+        F.struct("block_start", "line_id").alias("pos"),
+        readable.alias("readable"),
+        F.explode(F.transform(F.transform(records, parts), columns)).alias("x"),
+    ).select("file_path", "mtime_ms", "pos", "readable", "x.*")
 
     tool_uses = F.col("tool_uses")
     named = F.filter(tool_uses, lambda t: t["name"] != "")
@@ -129,8 +136,8 @@ def parse_records(lines: DataFrame, include_string_content: bool = False) -> Dat
         F.when(~F.col("readable"), "invalid utf-8")
         .when(F.col("r").isNull(), "not an object")
         .when(V.is_nested(F.col("r.uuid")), "uuid not a scalar")
-        .when(F.col("r.message").isNotNull() & F.col("m").isNull(), "message not an object")
-        .when(F.col("m.usage").isNotNull() & F.col("u").isNull(), "usage not an object")
+        .when(F.col("bad_message"), "message not an object")
+        .when(F.col("bad_usage"), "usage not an object")
         .when(F.coalesce(V.is_nested(F.col("m.model")) & V.is_truthy(F.col("m.model")), F.lit(False)), "model not a scalar")
     )
     for field in USAGE.values():
