@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.constants import FIRST_PROMPT_CUT
-from tracewell.functions.scalars import int_div
 
 AS_OF = dt.date(2024, 1, 31)
 

@@ -18,6 +18,7 @@ from workload import ingest_sources as src
 
 NOW = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 EARLIER_TURN = 2
+TAIL_START = 20_000
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -53,6 +54,12 @@ def line_offsets(spark, sf):
     )
 
 
+def log_tail(spark, sf):
+    """Lines that start at or after a position in their file, as after an earlier read."""
+    tail = numbering.byte_offsets(src.document_lines(spark, sf), F.lit(TAIL_START))
+    return tail.select("file_path", "doc_id", "i", "offset", "end_offset", F.col("value").alias("line"))
+
+
 def parsed_records(spark, sf):
     good = _parsed(spark, sf).where(F.col("reason").isNull())
     return flat(
@@ -243,6 +250,7 @@ QUERIES = {
     "i20_merged_sessions": merged_sessions,
     "i21_replaced_messages": replaced_messages,
     "i23_deleted_sessions": deleted,
+    "i24_log_tail": log_tail,
     "i25_hook_events": hook_events,
     "i25_hook_rejects": hook_rejects,
     "i27_todos": todos,

@@ -119,6 +119,10 @@ MESSAGES = f"""file_path, session_id, uuid, parent_uuid, role AS type, {t('ts')}
 
 LINES = "(SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
 
+PLACED = f"""(SELECT concat('/src/', source, '.txt') AS file_path, doc_id, CAST(i AS INTEGER) AS i, line,
+    CAST(strlen(line) + 1 AS BIGINT) AS size,
+    CAST(sum(strlen(line) + 1) OVER (PARTITION BY source ORDER BY doc_id, i) AS BIGINT) AS end_offset FROM {LINES})"""
+
 HOOKS = """
 h AS (
   SELECT event_id, user_id, event_type, ts, props,
@@ -139,10 +143,9 @@ ORACLE = {
       FROM recs GROUP BY 1, 2""",
     "i03_line_numbers": f"""SELECT concat('/src/', source, '.txt') AS file_path, doc_id, CAST(i AS INTEGER) AS i,
         row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS line_no FROM {LINES}""",
-    "i03_line_offsets": f"""SELECT file_path, doc_id, i, end_offset, end_offset - size AS "offset" FROM (
-        SELECT concat('/src/', source, '.txt') AS file_path, doc_id, CAST(i AS INTEGER) AS i,
-          CAST(strlen(line) + 1 AS BIGINT) AS size,
-          CAST(sum(strlen(line) + 1) OVER (PARTITION BY source ORDER BY doc_id, i) AS BIGINT) AS end_offset FROM {LINES})""",
+    "i03_line_offsets": f"SELECT file_path, doc_id, i, end_offset, end_offset - size AS \"offset\" FROM {PLACED}",
+    "i24_log_tail": f"""SELECT file_path, doc_id, i, end_offset, end_offset - size AS "offset", line
+      FROM {PLACED} WHERE end_offset - size >= 20000""",
     "i04_parsed_records": f"""WITH {recs()}
       SELECT file_path, block, uuid, parent_uuid, role AS type, {t('ts')} AS timestamp, is_sidechain, role, model, stop_reason,
         input_tokens, output_tokens, cache_read_tokens, CAST(0 AS BIGINT) AS cache_write_tokens, {TYPES}, {TOOL_NAME}, {SUMMARY},
