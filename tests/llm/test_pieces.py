@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+import sentencepiece
+
+from tracewell.llm import pieces as P
+
+
+@pytest.fixture(scope="module")
+def model():
+    return P.load()
+
+
+def all_paths(model, text):
+    """Every segmentation of the marked text, best first."""
+    if not text:
+        return [(0.0, ())]
+    out = []
+    for j in range(1, len(text) + 1):
+        own = model.vocabulary.get(text[:j])
+        head = [(own[1], (own[0],))] if own else []
+        if j == 1 and not own:
+            head = [(model.unknown_score, tuple(model.byte_ids[b] for b in text[0].encode()))]
+        out += [(s + rest, ids + more) for s, ids in head for rest, more in all_paths(model, text[j:])]
+    return sorted(out, key=lambda x: -x[0])
+
+
+WORDS = ["", "a", "the", " the", "hello", "  ab", "añé", "x\ny", "a.b, c", "zq☃", "▁", "a▁b", "  ", "in the", "Ünï", "\0", "\0▁a", "!!", "tion, s"]
+
+
+@pytest.mark.parametrize("text", WORDS)
+def test_n_best_equals_brute_force(model, text):
+    for n in (1, 3, 7):
+        ids, score, others = P.Encoder(model, n).encode([text])[0]
+        if "▁" in text or not text:
+            continue
+        want = all_paths(model, "▁" + text.replace(" ", "▁"))[:n]
+        ids = ids.tolist()
+        assert [score, *(s for s, _ in others)] == [s for s, _ in want]
+        assert want[0][0] == P.n_best(model, '▁' + text.replace(' ', '▁'), 1)[0][0]
+        got = {tuple(ids)}
+        for s, edits in others:
+            own = list(ids)
+            for a, b, x in reversed(edits):
+                own[a:b] = x
+            got.add(tuple(own))
+            assert P.decode_ids(model, own) == text
+        assert len(got) == len(want)
+
+
+def test_round_trip(model):
+    rng = random.Random(2)
+    encoder = P.Encoder(model, 3, kept=50)
+    texts = [*WORDS, "a" * 3000, " " * 500, "▁▁ ▁" * 50, *("".join(rng.choices("ab é☃▁\n\0 .thein漢", k=rng.randrange(40))) for _ in range(500))]
+    for text, (ids, _, _) in zip(texts, encoder.encode(texts)):
+        ids = ids.tolist()
+        assert P.decode_ids(model, ids) == text
+        if "▁" not in text:
+            assert sentencepiece.SentencePieceProcessor(model_file=P.MODEL).decode(ids) == text or "\0" in text or text.startswith(" ")
+
+
+def test_query_and_edges(spark, sf, model):
+    rows = P.op9_sentencepiece(spark, sf).collect()
+    assert rows and all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in rows)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    whole = P.Encoder(model, P.N_BEST)
+    for r in rows[:40]:
+        assert P.decode_ids(model, r["ids"]) == texts[r["doc_id"]]
+        assert [r["score"], *(o["score"] for o in r["others"])] == sorted((r["score"], *(o["score"] for o in r["others"])), reverse=True)
+        ids, score, _ = whole.encode([texts[r["doc_id"]]])[0]
+        assert (r["ids"], r["score"]) == (ids.tolist(), score)
+    docs = spark.createDataFrame([(1, None, "k"), (None, "", None), (2, "ab " * 50000, "k"), (2, "ab " * 50000, "k")], "doc_id bigint, text string, score string")
+    shared = P.shared(spark)
+    out = P.encode(docs, shared)
+    got = {(r["doc_id"], None if r["ids"] is None else len(r["ids"]) > 0, r["round_trip"]) for r in out.collect()}
+    assert got == {(1, None, None), (None, False, True), (2, True, True)} and out.count() == 4
+    back = P.decode(out.drop("text"), shared)
+    assert {r["text"] for r in back.collect()} == {None, "", "ab " * 50000}
+    assert P.encode(docs.limit(0), shared).count() == 0
