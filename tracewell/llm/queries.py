@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracewell.llm import decontamination, jaccard, pieces, pii, quality
+from tracewell.llm import decontamination, jaccard, licenses, pieces, pii, quality, sharding, warc
 from tracewell.llm.text import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,9 @@ def _ready(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_packages": _ready(warc.op1_warc_packages),
+    "op2_minimax_shards": _ready(sharding.op2_minimax_shards),
+    "op3_license_scan": _ready(licenses.op3_license_scan),
     "op4_pii": _ready(pii.op4_pii),
     "op5_decontamination": _ready(decontamination.op5_decontamination),
     "op8_near_duplicates": _ready(jaccard.op8_near_duplicates),
@@ -31,4 +34,4 @@ QUERIES: dict[str, Query] = {
     "pipeline": _ready(corpus_pipeline.run),
 }
 
-ORACLE: dict[str, str] = {"op5_decontamination": decontamination.SQL}
+ORACLE: dict[str, str] = {"op1_warc_packages": warc.SQL, "op5_decontamination": decontamination.SQL}
