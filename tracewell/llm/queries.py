@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracewell.llm import decontamination, jaccard, licenses, pieces, pii, quality, sharding, warc
+from tracewell.llm import decontamination, jaccard, licenses, pieces, pii, quality, secret_scan, sharding, toxicity, warc
 from tracewell.llm.text import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,8 @@ QUERIES: dict[str, Query] = {
     "op3_license_scan": _ready(licenses.op3_license_scan),
     "op4_pii": _ready(pii.op4_pii),
     "op5_decontamination": _ready(decontamination.op5_decontamination),
+    "op6_secrets": _ready(secret_scan.op6_secrets),
+    "op7_toxicity": _ready(toxicity.op7_toxicity),
     "op8_near_duplicates": _ready(jaccard.op8_near_duplicates),
     "op9_sentencepiece": _ready(pieces.op9_sentencepiece),
     "op10_quality_outliers": _ready(quality.op10_quality_outliers),
