@@ -53,7 +53,7 @@ class Rules:
     max_repeat_percent: int = 50
     h: float = 0.75  # share of rows that the estimates are fitted on
     min_rows: int = 50  # of a group with estimates of its own
-    steps: int = 12  # concentration steps at most
+    steps: int = 8  # concentration steps at most
     reweight: float = 0.975
     quantile: float = 1 - 1e-12  # of the chi-squared distribution; rows beyond are rejected, clean ones practically never
 
@@ -286,7 +286,7 @@ def fit(measured: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFra
     for _ in range(rules.steps):
         fits = written(solved(summed(nearest(binned(fits), rules.h)), consistency(rules.h)), "quality-fit")
         total = fits.agg(F.sum("log_det")).first()[0]
-        if total is None or last is not None and abs(last - total) <= 1e-6 * max(1.0, abs(total)):
+        if total is None or last is not None and abs(last - total) <= 1e-4 * max(1.0, abs(total)):
             break
         last = total
     inside = vectors.join(fits, "level").where(distance() <= chi_squared_quantile(rules.reweight, D))

@@ -30,6 +30,7 @@ POSITIVES = 8_000  # rows
 UNLABELLED = 16_000  # rows
 FEATURES = 20_000  # of the words that are relatively more frequent among positives or simply frequent
 MIN_SUPPORT = 3
+SURE = 5.5  # standard deviations; of a million chance words fewer than ten come so far
 EPOCHS = 30
 BATCH = 1024
 CUT = 0.3
@@ -72,6 +73,10 @@ class Sample:
     positive: np.ndarray
 
 
+def _gain(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300))
+
+
 def train(sample: Sample, prior: float, seed: int = 11) -> Classifier:
     """nnPU by Adam on batches that hold positives and unlabelled rows in proportion."""
     n_pos = int(sample.positive.sum())
@@ -81,12 +86,11 @@ def train(sample: Sample, prior: float, seed: int = 11) -> Classifier:
     in_pos = np.bincount(sample.words[sample.positive[owner]], minlength=1 << BITS)
     in_unl = np.bincount(sample.words[~sample.positive[owner]], minlength=1 << BITS)
     n_unl = max(len(sample.positive) - n_pos, 1)
-    p, q = (in_pos + 0.5) / (n_pos + 1), (in_unl + 0.5) / (n_unl + 1)
-    # how surely a word's share differs between both, so that chance words stay out
-    z = (p - q) / np.sqrt(p * (1 - p) / (n_pos + 1) + q * (1 - q) / (n_unl + 1))
+    # how surely a word's share differs between both (root of the likelihood ratio statistic), so that chance words stay out
+    z = np.sqrt(np.maximum(2 * sum(_gain(own, (in_pos + in_unl) * n / (n_pos + n_unl)) + _gain(n - own, n - (in_pos + in_unl) * n / (n_pos + n_unl)) for own, n in ((in_pos, n_pos), (in_unl, n_unl))), 0))
     z[in_pos + in_unl < MIN_SUPPORT] = 0
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:FEATURES])
-    chosen = chosen[np.abs(z[chosen]) >= 2.5]
+    chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
+    chosen = chosen[z[chosen] >= SURE]
     if not len(chosen):
         return Classifier(chosen, np.empty(0), float(np.log(prior / (1 - prior))))
     column = np.minimum(np.searchsorted(chosen, sample.words), len(chosen) - 1)
