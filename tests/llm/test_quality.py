@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tracewell.llm import quality as Q
+
+
+def counts(text):
+    """The contract's counts, straight from their wording."""
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    hit = {k for i, g in enumerate(grams) if grams.count(g) > 1 for k in (i, i + 1, i + 2)}
+    return [len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), dup, len(hit)]
+
+
+def test_counts():
+    rng = random.Random(1)
+    for _ in range(500):
+        text = "".join(rng.choices("ab é\n\t\u00a0\x1c#|<", k=rng.randrange(60)))
+        assert Q.measure(text.encode())[0] == counts(text), repr(text)
+
+
+def test_chi_squared():
+    for d in (2, 4, 6):
+        for p in (0.5, 0.975, 1 - 1e-12):
+            x = Q.chi_squared_quantile(p, d)
+            tail = math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(d // 2))
+            assert tail == pytest.approx(1 - p, rel=1e-3)
+
+
+def brute(rows, rules=Q.Rules()):
+    """The same estimates with all rows of a group in one array: (lang, source) -> squared distances in row order."""
+
+    def distances(x, mean, whiten):
+        return (((x - mean) @ np.array(whiten).reshape(Q.D, Q.D).T) ** 2).sum(1)
+
+    def cov(x, factor):
+        mean = x.mean(0)
+        return Q.solve(mean, ((x - mean).T @ (x - mean) / len(x)) * factor)
+
+    def estimates(x):
+        widths = np.array(list(Q.STATISTICS.values())) / 50
+        binned = (np.floor(x / widths) + 0.5) * widths
+
+        def middle(v):
+            return np.array([np.sort(c)[math.ceil(len(c) / 2) - 1] for c in v.T])
+
+        m = middle(binned)
+        return Q.solve(m, np.diag((1.4826 * middle(np.abs(binned - m))) ** 2))
+
+    groups, langs = {}, {}
+    for r in rows:
+        if not r["base_failed"]:
+            groups.setdefault((r["lang"], r["source"]), []).append(r["vector"])
+            langs.setdefault(r["lang"], []).append(r["vector"])
+    data = {k: np.array(v if len(v) >= rules.min_rows else langs[k[0]]) for k, v in groups.items()}
+    judged = {k: x for k, x in data.items() if len(x) >= rules.min_rows}
+    level = {k: k if len(groups[k]) >= rules.min_rows else k[0] for k in judged}
+    levels = {level[k]: x for k, x in judged.items()}
+    fits, last = {k: estimates(x) for k, x in levels.items()}, None
+    for _ in range(rules.steps):
+        for k, x in levels.items():
+            d = np.floor(np.log2(np.maximum(distances(x, *fits[k][:2]), 1e-6)) * 32)
+            order = np.sort(d)
+            limit = order[math.ceil(rules.h * len(d)) - 1]
+            fits[k] = cov(x[d <= limit], Q.consistency(rules.h))
+        total = sum(f[2] for f in fits.values())
+        if last is not None and abs(last - total) <= 1e-4 * max(1.0, abs(total)):
+            break
+        last = total
+    for k, x in levels.items():
+        fits[k] = cov(x[distances(x, *fits[k][:2]) <= Q.chi_squared_quantile(rules.reweight, Q.D)], Q.consistency(rules.reweight))
+    return {k: fits[level[k]] for k in judged}, distances
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rules = Q.Rules(min_rows=8)
+    measured = Q.with_statistics(docs, [*Q.COUNTS, "vector"]).withColumn("base_failed", Q.base_failed("n_words", "n_repeat_words"))
+    rows = measured.collect()
+    fits, distances = brute(rows, rules)
+    got = {r["doc_id"]: r for r in Q.quality(docs, rules).collect()}
+    limit = Q.chi_squared_quantile(rules.quantile, Q.D)
+    assert len(fits) > 3
+    for r in rows:
+        out = got[r["doc_id"]]
+        assert [out[c] for c in Q.COUNTS] == counts(r["text"]) and out["base_failed"] == r["base_failed"]
+        fit = fits.get((r["lang"], r["source"]))
+        d = float(distances(np.array([r["vector"]]), *fit[:2])[0]) if fit else None
+        assert out["distance"] == (pytest.approx(d, rel=1e-6, abs=1e-9) if fit else None)
+        assert out["kept"] == (not r["base_failed"] and (d is None or d <= limit))
+    assert Q.op10_quality_outliers(spark, sf).count() == len(rows)
+
+
+def test_keeping_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "lang AS mean", "1 AS quality_kept")
+    kept = Q.keep_quality(docs)
+    assert kept.columns == docs.columns
+    want = {r["doc_id"] for r in Q.quality(docs).where("kept").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == want
+
+
+def test_edges(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None, None, None, 1), (1, "", "en", "a", 2), (None, good, None, None, 3), (2, "word " * 100_000, "en", None, 4), (3, good, "en", "a", 5), (3, good, "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, vector int")
+    out = Q.quality(docs).collect()
+    assert sorted((r["n_words"], r["kept"]) for r in out) == [(0, False), (0, False), (60, True), (60, True), (60, True), (100_000, False)]
+    assert Q.quality(docs.limit(0)).count() == 0 and Q.keep_quality(docs.limit(0)).count() == 0

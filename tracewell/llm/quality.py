@@ -178,14 +178,14 @@ def solved(sums: DataFrame, factor: float) -> DataFrame:
     return sums.mapInArrow(run, FIT)
 
 
-def distance(vector: str = "vector") -> Column:
+def distance(vector: str = "vector", mean: str = "mean", whiten: str = "whiten") -> Column:
     """Squared Mahalanobis distance; the fit's columns stand beside the vector."""
-    x = [F.element_at(vector, i + 1) - F.element_at("mean", i + 1) for i in range(D)]
+    x = [F.element_at(vector, i + 1) - F.element_at(mean, i + 1) for i in range(D)]
     total = F.lit(0.0)
     for i in range(D):
         part = F.lit(0.0)
         for j in range(i + 1):
-            part = part + F.element_at("whiten", i * D + j + 1) * x[j]
+            part = part + F.element_at(whiten, i * D + j + 1) * x[j]
         total = total + part * part
     return total
 
@@ -295,15 +295,14 @@ def fit(measured: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFra
 
 def judged(measured: DataFrame, levels: DataFrame, fits: DataFrame, names: dict[str, str], rules: Rules = Rules()) -> DataFrame:
     """`measured` (with lang and source) plus `names`: squared distance (null where no level judges) and verdict."""
-    model = levels.join(fits, "level").select(
-        F.col("lang").alias("level_lang"), F.col("source").alias("level_source"), "mean", "whiten"
-    )
+    own = fresh(measured, "level_lang", "level_source", "mean", "whiten")
+    model = levels.join(fits, "level").select(*(F.col(c).alias(name) for c, name in zip(("lang", "source", "mean", "whiten"), own)))
     limit = chi_squared_quantile(rules.quantile, D)
-    joined = measured.join(model, measured["lang"].eqNullSafe(model["level_lang"]) & measured["source"].eqNullSafe(model["level_source"]), "left")
+    joined = measured.join(model, measured["lang"].eqNullSafe(model[own[0]]) & measured["source"].eqNullSafe(model[own[1]]), "left")
     return (
-        joined.withColumn(names["distance"], distance(names["vector"]))
+        joined.withColumn(names["distance"], distance(names["vector"], own[2], own[3]))
         .withColumn(names["kept"], ~F.col(names["base_failed"]) & F.coalesce(F.col(names["distance"]) <= limit, F.lit(True)))
-        .drop("level_lang", "level_source", "mean", "whiten")
+        .drop(*own)
     )
 
 
