@@ -39,6 +39,7 @@ from tracewell.session import scratch_dir
 ARCHIVE = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
 PACKAGE_BYTES = 32 << 20  # of payload in one package; one larger payload has a package of its own
+PACKAGES_PER_TASK = 2
 RANGE_BYTES = 1 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -254,7 +255,9 @@ def read_packages(manifest: DataFrame) -> DataFrame:
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "intact"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, intact boolean"
-    return manifest.repartition("path").mapInArrow(run, schema)
+    # rows of the manifest are small but stand for megabytes each: a stated number of tasks, which Spark does not merge
+    tasks = -(-max(manifest.count(), 1) // PACKAGES_PER_TASK)
+    return manifest.repartition(tasks, "path").mapInArrow(run, schema)
 
 
 def op1_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
