@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import SLICE_BYTES, slices, word_hashes
+from tracewell.llm.text import SLICE_BYTES, least_hashes, slices, word_hashes
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "secret")
@@ -247,10 +247,11 @@ def weak_labels(texts: list[str], tokens: Tokens) -> np.ndarray:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Field:
-    """Train on at most `rows` rows, chosen by hash, a prefix of each; half of them such as mention a key word or a long run of digits and letters."""
+    """Train on about `rows` rows at most, chosen by hash, a prefix of each; half of them such as mention a key word or a long run of digits and letters."""
     text = docs.select(F.substring("text", 1, chars).alias("text")).where("text <> ''").withColumn("at", F.xxhash64("text"))
     likely = text.where(F.col("text").rlike(r"(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"))
-    texts = sorted({r["text"] for part in (likely, text) for r in part.orderBy("at", "text").limit(rows // 2).collect()})
+    # one row per hash: copies of one text, however many, count once
+    texts = sorted({r["text"] for part in (likely, text) for r in least_hashes(part, "at", rows // 2).groupBy("at").agg(F.min("text").alias("text")).collect()})
     tokens = tokenize([t.encode() for t in texts])
     return train(tokens, weak_labels(texts, tokens))
 

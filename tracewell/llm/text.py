@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.session import scratch_dir
 
@@ -95,6 +96,15 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_hashes(df: DataFrame, at: str, rows: int) -> DataFrame:
+    """About `rows` rows of `df`, those with the least values of the hash column `at` (evenly spread 64 bits); all, if there are no more.
+
+    Decided row by row from one count, so nothing is gathered, unlike an ordered limit, which sends that many rows per partition.
+    """
+    share = min(1.0, rows / max(df.count(), 1))
+    return df.where(F.col(at) <= min(int(-(2**63) + share * 2**64), 2**63 - 1))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of `df` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.text import slices, split_words, word_hashes
+from tracewell.llm.text import least_hashes, slices, split_words, word_hashes
 
 BITS = 21
 POSITIVES = 8_000  # rows
@@ -136,12 +136,12 @@ def sample_rows(docs: DataFrame, labels: DataFrame) -> tuple[Sample, float]:
     known = usable.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     prior = min(max(known or 0.0, 1e-3), 0.5)
     order = F.xxhash64("doc_id", F.lit(3))
-    pos_ids = usable.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(POSITIVES)
+    pos_ids = least_hashes(usable.where("toxic = 1").select("doc_id", order.alias("at")), "at", POSITIVES).select("doc_id")
     # labels of held-out rows are not looked at, so these rows are no part of the training text either
     free = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").join(usable.where("toxic = 1"), "doc_id", "left_anti")
-    unl_ids = free.distinct().orderBy(order, "doc_id").limit(UNLABELLED)
+    unl_ids = least_hashes(free.distinct().select("doc_id", order.alias("at")), "at", UNLABELLED).select("doc_id")
     ids = pos_ids.withColumn("positive", F.lit(True)).unionByName(unl_ids.withColumn("positive", F.lit(False)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most POSITIVES + UNLABELLED ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # about POSITIVES + UNLABELLED ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
