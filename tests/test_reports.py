@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.errors import ParseException
 
 from tracewell.plans import insights as I
 from tracewell.plans import reports as R
@@ -180,3 +181,20 @@ def test_purged_session_counts_once(spark):
     d = spark.createDataFrame([("a",), ("c",)], "session_id string")
     only_deleted = d.join(s, "session_id", "left_anti")
     assert s.count() + only_deleted.count() == 3
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "INSERT OVERWRITE DIRECTORY '/tmp/never' USING parquet SELECT * FROM one",
+        "CREATE TABLE never AS SELECT * FROM one",
+        "DROP VIEW one",
+        "SET spark.sql.shuffle.partitions=3",
+    ],
+)
+def test_raw_sql_takes_queries_only(spark, text):
+    one = spark.range(1)
+    with pytest.raises(ParseException):
+        R.sql(spark, text, {"one": one})
+    assert R.sql(spark, "WITH x AS (SELECT id FROM one) SELECT id FROM x -- a note", {"one": one}).count() == 1
+    assert R.sql(spark, "SELECT id FROM one;", {"one": one}).count() == 1

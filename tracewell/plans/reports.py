@@ -244,10 +244,10 @@ def last_sync(state: DataFrame) -> DataFrame:
 
 
 def sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Spark SQL over views named like the tables; views cannot be written to."""
+    """Spark SQL over views named like the tables. Only a query is taken: inside a subquery, commands are syntax errors."""
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
-    return spark.sql(text)
+    return spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)")
 
 
 # --- periods and trends ----------------------------------------------------------------------

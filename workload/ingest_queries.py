@@ -231,11 +231,6 @@ def purge_classes(spark, sf):
     return purge.purge_candidates(src.transcript_files(spark, sf), sessions, as_of)
 
 
-def newer_files(spark, sf):
-    listed = files.list_newer(spark, sf, ".parquet", 0)
-    return listed.select(files.name_of(F.col("file_path")).alias("name"), (F.col("file_size") > 0).alias("has_bytes"))
-
-
 QUERIES = {
     "i02_split_feeds": split_by_feed,
     "i03_line_numbers": line_numbers,
@@ -257,7 +252,6 @@ QUERIES = {
     "i28_debug_logs": debug_logs,
     "i29_history": history,
     "i32_sync_state": sync_state,
-    "i33_newer_files": newer_files,
     "i36_purge_candidates": purge_classes,
     "i37_compacted_tool_calls": compacted_calls,
     "i38_synced_sessions": synced_sessions,
