@@ -1,4 +1,4 @@
-"""Fixed values of the data model: names, labels, rates, cut lengths, thresholds, patterns."""
+"""Fixed values of the data model: names, labels, rates, thresholds, patterns."""
 
 # Hook log file stem -> event type.
 HOOK_LOGS = {
@@ -42,16 +42,6 @@ MODEL_RATES = {
 }
 CACHE_DISCOUNT = 0.9  # share of the input rate that a cache read saves
 
-# Cut lengths in characters.
-FIRST_PROMPT_CUT = 1000
-TOOL_SUMMARY_CUT = 300
-TOOL_INPUT_CUT = 500
-TEXT_CUT = 2000
-INDEX_SUMMARY_CUT = 500
-DEBUG_LINE_CUT = 500
-DESCRIPTION_CUT = 200
-HISTORY_CUT = 10000
-
 # Bucket thresholds.
 MESSAGE_BUCKETS = (3, 10, 30)
 PROMPT_BUCKETS = (50, 200)

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell import constants as C
 from tracewell.functions import times
 from tracewell.functions import variants as V
 from tracewell.sources import files
@@ -59,9 +58,7 @@ def parse_records(lines: DataFrame, include_string_content: bool = False) -> Dat
     def tool(b: Column) -> Column:
         name = F.when(b["o"]["name"].isNull(), F.lit("")).otherwise(V.text(b["o"]["name"]))
         given = F.when(b["o"]["input"].isNull(), F.lit("{}")).otherwise(V.json_text(b["o"]["input"]))
-        return F.struct(
-            b["idx"].alias("idx"), name.alias("name"), F.left(given, F.lit(C.TOOL_INPUT_CUT)).alias("input")
-        )
+        return F.struct(b["idx"].alias("idx"), name.alias("name"), given.alias("input"))
 
     def is_tool(b: Column) -> Column:
         return b["o"].isNotNull() & kind(b).eqNullSafe("tool_use")
@@ -167,9 +164,9 @@ def parse_records(lines: DataFrame, include_string_content: bool = False) -> Dat
         ),
         F.when(F.size("types") > 0, F.col("types")).alias("content_types"),
         first_tool["name"].alias("tool_name"),
-        F.left(first_tool["input"], F.lit(C.TOOL_SUMMARY_CUT)).alias("tool_input_summary"),
-        F.left(joined, F.lit(C.TEXT_CUT)).alias("text_content"),
-        F.left(prompt, F.lit(C.FIRST_PROMPT_CUT)).alias("prompt"),
+        first_tool["input"].alias("tool_input_summary"),
+        joined.alias("text_content"),
+        prompt.alias("prompt"),
         F.coalesce(tool_uses, F.array()).alias("tool_uses"),
     )
 

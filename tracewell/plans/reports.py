@@ -81,16 +81,6 @@ def tokens_by_project(s: DataFrame, as_of: dt.date, days: int = 7, limit: int =
     return _limit(out, limit, _desc("total"), _asc("project_name"))
 
 
-def tokens_display(shown: DataFrame) -> DataFrame:
-    """The rows of ``tokens_by_project`` with abbreviated counts."""
-    counts = ("input_tok", "output_tok", "cache_read", "cache_write", "total")
-    return shown.select(
-        "project_name",
-        F.col("sessions").cast("string").alias("sessions"),
-        *(S.human_count(F.col(c)).alias(c) for c in counts),
-    )
-
-
 def tokens_grand_total(shown: DataFrame) -> DataFrame:
     """Totals of the rows shown, not of all projects."""
     return shown.agg(
@@ -402,16 +392,6 @@ def cost_and_cache_by_project(s: DataFrame, as_of: dt.date, days: int = 30) -> D
     return out.orderBy(_desc("est_cost_usd"), _asc("project_name"))
 
 
-def cost_labels(costs: DataFrame) -> DataFrame:
-    """Cost rows as the chart shows them: short label and money text."""
-    return costs.select(
-        "project_name",
-        S.clean_label(F.col("project_name")).alias("label"),
-        S.money(F.col("est_cost_usd")).alias("cost"),
-        S.human_count(F.col("input_tok"), ties="up").alias("input_tok"),
-    )
-
-
 def costliest_sessions(s: DataFrame, limit: int = 10, prompt_len: int = 80) -> DataFrame:
     cost = _session_cost()
     top = _limit(s.withColumn("est_cost_usd", cost), limit, _desc("est_cost_usd"), _asc("session_id"))
@@ -628,15 +608,14 @@ def _counts_in_range(
 ) -> DataFrame:
     """Rows per ``key``, dated by their session.
 
-    Counting per (session, key) first leaves a busy session a handful of rows
-    to carry into the join.
+    Rows of sessions out of range go first: where the range leaves few
+    sessions, these are broadcast and the history is only filtered.
     """
     in_range = F.col("created_at") >= F.lit(lo)
     if hi is not None:
         in_range = in_range & (F.col("created_at") < F.lit(hi))
     wanted = s.where(in_range).select("session_id")
-    small = df.groupBy("session_id", key).agg(F.count("*").alias("n"))
-    out = small.join(wanted, "session_id").groupBy(key).agg(F.sum("n").alias(name))
+    out = df.join(wanted, "session_id", "left_semi").groupBy(key).agg(F.count("*").alias(name))
     return _limit(out, limit, _desc(name), _asc(key))
 
 

@@ -13,7 +13,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.constants import FIRST_PROMPT_CUT
 
 AS_OF = dt.date(2024, 1, 31)
 
@@ -67,7 +66,7 @@ def event_sessions(spark: SparkSession, sf: str, prompts: bool = False) -> DataF
         return sessions.drop("first_event")
     documents = table(spark, sf, "documents")
     count = documents.agg(F.count("*")).scalar()
-    texts = documents.select("doc_id", F.left("text", F.lit(FIRST_PROMPT_CUT)).alias("doc_text"))
+    texts = documents.select("doc_id", F.col("text").alias("doc_text"))
     return (
         sessions.join(texts, F.col("first_event") % count == F.col("doc_id"), "left")
         .withColumn("first_prompt", F.when(F.col("first_event") % 11 != 0, F.col("doc_text")))

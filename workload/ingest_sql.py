@@ -37,8 +37,8 @@ recs{suffix} AS (
     CASE WHEN turn % 4 = 3 THEN '' ELSE CASE turn % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Edit' ELSE 'Bash' END END AS tool_a,
     CASE WHEN turn % 4 = 3 THEN 'Glob' ELSE '' END AS tool_b,
     concat('{{"n":', CAST(turn AS VARCHAR), ',"t":', CAST(to_json(text) AS VARCHAR), '}}') AS input_a,
-    CASE WHEN turn % 2 = 1 THEN substr(concat('bare', chr(10), text), 1, 2000) END AS text_content,
-    CASE WHEN role = 'user' AND turn % 7 <> 6 THEN CASE WHEN turn % 2 = 1 THEN 'bare' ELSE substr(text, 1, 1000) END END AS prompt
+    CASE WHEN turn % 2 = 1 THEN concat('bare', chr(10), text) END AS text_content,
+    CASE WHEN role = 'user' AND turn % 7 <> 6 THEN CASE WHEN turn % 2 = 1 THEN 'bare' ELSE text END END AS prompt
   FROM base{suffix} b JOIN size{suffix} s USING (conv_id, turn)
 ),
 bad{suffix} AS (SELECT file_path, count(*) AS bad_lines FROM recs{suffix} WHERE conv_id % 17 = 16 AND turn = 1 GROUP BY 1),
@@ -91,7 +91,7 @@ def t(column: str) -> str:
 
 
 TOOL_NAME = "CASE WHEN turn % 2 = 1 THEN CASE WHEN tool_a <> '' THEN tool_a ELSE tool_b END END AS tool_name"
-SUMMARY = "CASE WHEN turn % 2 = 1 THEN CASE WHEN tool_a <> '' THEN substr(input_a, 1, 300) ELSE '{}' END END AS tool_input_summary"
+SUMMARY = "CASE WHEN turn % 2 = 1 THEN CASE WHEN tool_a <> '' THEN input_a ELSE '{}' END END AS tool_input_summary"
 TYPES = "content_types"
 
 ROLLUP = f"""{t('created_at')} AS created_at, {t('modified_at')} AS modified_at, message_count, total_input_tokens,
@@ -99,7 +99,7 @@ ROLLUP = f"""{t('created_at')} AS created_at, {t('modified_at')} AS modified_at,
 
 CALLS = f"""
 calls AS (
-  SELECT file_path, session_id, uuid AS message_uuid, tool_a AS tool_name, substr(input_a, 1, 500) AS tool_input, ts, 2 AS idx, owner
+  SELECT file_path, session_id, uuid AS message_uuid, tool_a AS tool_name, input_a AS tool_input, ts, 2 AS idx, owner
   FROM msgs WHERE turn % 2 = 1
   UNION ALL SELECT file_path, session_id, uuid, tool_b, '{{}}', ts, 3, owner FROM msgs WHERE turn % 2 = 1
 )"""
@@ -169,7 +169,7 @@ ORACLE = {
         concat('/orig/', source) AS project_path, CAST(doc_id_own AS VARCHAR) AS project_name, lang AS git_branch,
         '2024-01-02 03:04:05' AS created_at, CAST(NULL AS VARCHAR) AS modified_at,
         CAST(CASE WHEN i % 3 <> 0 THEN i ELSE 0 END AS INTEGER) AS message_count,
-        substr(line, 1, 1000) AS first_prompt, substr(line, 1, 500) AS summary
+        line AS first_prompt, line AS summary
       FROM (SELECT doc_id AS doc_id_own, doc_id - doc_id % 2 AS doc_id, source, lang, line, i FROM {LINES} WHERE i % 2 = 0)
       QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY doc_id_own) = 1""",
     "i25_hook_events": f"""WITH {HOOKS}
@@ -189,8 +189,8 @@ ORACLE = {
       FROM {LINES} WHERE doc_id % 3 <> 0""",
     "i28_debug_logs": """SELECT concat('/src/debug/d', CAST(doc_id AS VARCHAR), '.txt') AS file_path, concat('d', CAST(doc_id AS VARCHAR)) AS session_id,
         CASE WHEN doc_id % 2 = 0 THEN '2024-01-02 03:04:05' END AS timestamp,
-        substr(trim(concat(CASE WHEN doc_id % 2 = 0 THEN '2024-01-02T03:04:05.5Z  ' ELSE '' END, string_split(text, chr(10))[1]),
-          concat(' ', chr(9), chr(13))), 1, 500) AS first_line,
+        trim(concat(CASE WHEN doc_id % 2 = 0 THEN '2024-01-02T03:04:05.5Z  ' ELSE '' END, string_split(text, chr(10))[1]),
+          concat(' ', chr(9), chr(13))) AS first_line,
         CAST(len(string_split(text, chr(10))) AS INTEGER) AS line_count, CAST(strlen(text) AS BIGINT) AS size_bytes
       FROM documents""",
     "i29_history": """SELECT concat('/src/history/', CASE WHEN doc_id % 7 <> 0 THEN concat(source, '/') ELSE '' END,
@@ -199,8 +199,8 @@ ORACLE = {
         CASE WHEN doc_id % 7 <> 0 THEN source ELSE 'uncategorized' END AS category, lang AS agent,
         CASE WHEN doc_id % 2 = 0 THEN concat('2024-01-02 03:', lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0'), ':05') ELSE '2024-01-02 03:04:05' END AS timestamp,
         CASE WHEN doc_id % 2 = 0 THEN concat('on ', CAST(doc_id AS VARCHAR), ' x') ELSE concat('free-', CAST(doc_id AS VARCHAR)) END AS description,
-        substr(concat(CASE WHEN doc_id % 2 = 1 THEN concat('agent: ', lang, chr(10), 'timestamp: 2024-01-02T03:04:05Z', chr(10)) ELSE '' END,
-          'grown', chr(10), text), 1, 10000) AS content
+        concat(CASE WHEN doc_id % 2 = 1 THEN concat('agent: ', lang, chr(10), 'timestamp: 2024-01-02T03:04:05Z', chr(10)) ELSE '' END,
+          'grown', chr(10), text) AS content
       FROM documents""",
     "i32_sync_state": f"""WITH {TWO}
       SELECT CASE WHEN sub THEN 'subagents' ELSE 'sessions' END AS source_name, max(mtime_ms) AS last_mtime_ms,

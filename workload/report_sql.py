@@ -34,7 +34,7 @@ w_ses0 AS (
 w_ses AS (
   SELECT a.*, total_input_tokens + total_output_tokens AS tokens,
          3000 * total_input_tokens + 15000 * total_output_tokens AS nano,
-         CASE WHEN first_event % 11 <> 0 THEN substr(d.text, 1, 1000) END AS first_prompt
+         CASE WHEN first_event % 11 <> 0 THEN d.text END AS first_prompt
   FROM w_ses0 a LEFT JOIN documents d ON d.doc_id = a.first_event % (SELECT count(*) FROM documents)
 )"""
 )
