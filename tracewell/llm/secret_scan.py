@@ -247,8 +247,13 @@ def weak_labels(texts: list[str], tokens: Tokens) -> np.ndarray:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Field:
-    """Train on about `rows` rows at most, chosen by hash, a prefix of each; half of them such as mention a key word or a long run of digits and letters."""
-    text = docs.select(F.substring("text", 1, chars).alias("text")).where("text <> ''").withColumn("at", F.xxhash64("text"))
+    """Train on about `rows` rows at most, chosen by hash; half of them such as mention a key word or a long run of digits and letters.
+
+    A text longer than `chars` gives that many characters, from a place that its hash chooses, so that no part of the texts is left out.
+    """
+    whole = docs.select("text", F.xxhash64("text").alias("at")).where("text <> ''")
+    start = F.pmod(F.xxhash64("at"), F.greatest(F.length("text") - (chars - 1), F.lit(1))) + 1
+    text = whole.select(F.substring("text", start, F.lit(chars)).alias("text"), "at")
     likely = text.where(F.col("text").rlike(r"(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"))
     # one row per hash: copies of one text, however many, count once
     texts = sorted({r["text"] for part in (likely, text) for r in least_hashes(part, "at", rows // 2).groupBy("at").agg(F.min("text").alias("text")).collect()})
