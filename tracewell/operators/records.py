@@ -193,14 +193,19 @@ def summarize_files(records: DataFrame, on_error: str = "file") -> DataFrame:
     ok = F.col("reason").isNull()
     names = ok & (F.coalesce(F.col("own_session_id"), F.lit("")) != "")
     identity = F.struct("own_session_id", "cwd", "version", "git_branch")
-    tool_names = F.array_sort(F.array_distinct(F.filter(F.col("tool_uses.name"), lambda n: n.isNotNull())))
+    no_names = F.array().cast("array<string>")
+    tool_names = F.array_distinct(F.filter(F.col("tool_uses.name"), lambda n: n.isNotNull()))
+    # each record once without a tool, then once per tool it names: sets hold single names, not lists of them
+    named = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.when(ok, tool_names), no_names))
+    rows = records.withColumn("tool", F.explode(named))
+    once = ok & F.col("tool").isNull()
 
     def total(name: str) -> Column:
-        return F.sum(F.when(ok, F.col(name)))
+        return F.sum(F.when(once, F.col(name)))
 
-    per_file = records.groupBy("file_path", "mtime_ms").agg(
+    per_file = rows.groupBy("file_path", "mtime_ms").agg(
         F.min("reason").alias("reason"),
-        F.count_if(ok).alias("kept"),
+        F.count_if(once).alias("kept"),
         F.min_by(identity, F.when(names, F.col("pos"))).alias("ident"),
         F.min(F.when(names, F.col("pos"))).alias("named_from"),
         F.min(F.when(ok, F.col("timestamp"))).alias("created_at"),
@@ -209,8 +214,7 @@ def summarize_files(records: DataFrame, on_error: str = "file") -> DataFrame:
         total("output_tokens").alias("total_output_tokens"),
         total("cache_read_tokens").alias("total_cache_read"),
         total("cache_write_tokens").alias("total_cache_write"),
-        # sets of names, not rows: bounded by the distinct combinations of tools
-        F.collect_set(F.when(ok, tool_names)).alias("tool_sets"),
+        F.collect_set("tool").alias("tools"),
         F.collect_set(F.when(ok & (F.col("model") != ""), F.col("model"))).alias("models"),
         F.min_by("prompt", F.when(ok & F.col("prompt").isNotNull(), F.col("pos"))).alias("first_prompt"),
     )
@@ -235,7 +239,7 @@ def summarize_files(records: DataFrame, on_error: str = "file") -> DataFrame:
         "total_output_tokens",
         "total_cache_read",
         "total_cache_write",
-        F.array_sort(F.array_distinct(F.flatten("tool_sets"))).alias("tools_used"),
+        F.array_sort("tools").alias("tools_used"),
         F.array_sort("models").alias("models_used"),
         "first_prompt",
         "file_path",
