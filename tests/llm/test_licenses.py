@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import textwrap
+from collections import Counter
 
 from tracewell.llm import licenses as L
 
@@ -59,3 +61,56 @@ def test_edges(spark):
     out = L.scan(docs).collect()
     assert sorted((r["doc_id"] or 0, r["license"] or "") for r in out) == [(0, ""), (1, ""), (2, ""), (3, "MIT"), (3, "MIT")]
     assert L.scan(docs.limit(0)).count() == 0
+
+def every_window(found, bag, threshold=L.THRESHOLD):
+    """Most similar window of the words, all beginnings and ends measured."""
+    size, best = sum(bag.values()), 0.0
+    pairs = list(zip(found, found[1:]))
+    for a in range(len(pairs)):
+        own, shared = Counter(), 0
+        for b in range(a, len(pairs)):
+            own[pairs[b]] += 1
+            shared += own[pairs[b]] <= bag[pairs[b]]
+            best = max(best, 2 * shared / (b - a + 1 + size))
+    return best
+
+
+def test_wrapped_and_embedded_texts():
+    scanner = L.Scanner(L.TEMPLATES, L.THRESHOLD)
+    prose = "some prose of the day and for any person to read with the rest " * 6
+    for name in ("MIT (text)", "BSD-2-Clause", "Apache-2.0 (header)", "GPL-3.0 (header)", "ISC"):
+        wrapped = textwrap.wrap(L.TEMPLATES[name], 80)
+        for mark in ("", "# "):
+            text = "\n".join([*textwrap.wrap(prose, 80), *(mark + x for x in wrapped), *textwrap.wrap(prose, 80)])
+            assert scanner.scan(text.encode()) == []
+            assert [(m[0], m[3]) for m in scanner.find(text.encode()) if m[0] == name and m[1] > 0.97], (name, scanner.find(text.encode()))
+    assert scanner.find(b"prose. Released under the MIT License. prose\nnext") == [("MIT", 1.0, 0, 1)]
+    assert scanner.find(b"prose\nReleased under\nthe MIT License. prose") == [("MIT", 1.0, 1, 2)]
+    inside = L.TEMPLATES["MIT (text)"].replace("subject to", "Licensed under CC BY-NC 4.0. subject to")
+    assert {m[0] for m in scanner.find(("x " * 90 + inside + " x" * 90).encode())} == {"MIT (text)", "CC-BY-NC-4.0"}
+    twice = "\n".join(["intro", L.TEMPLATES["ISC"].replace(". ", ".\n"), "between " * 40, L.TEMPLATES["ISC"].replace(". ", ".\n")])
+    assert [m[0] for m in scanner.find(twice.encode())] == ["ISC", "ISC"]
+
+
+def test_windows_equal_all_windows():
+    rng = random.Random(5)
+    scanner = L.Scanner(L.TEMPLATES, L.THRESHOLD)
+    found = 0
+    for name, text in L.TEMPLATES.items():
+        for drop in (0.0, 0.03, 0.06):
+            kept = [w if rng.random() >= drop else rng.choice(["", "other", w + " " + w]) for w in text.split()]
+            stream = L.words(" ".join(["of the one"] * 3 + kept + ["and the software"] * 3).encode())
+            got = {}
+            for _, dice, k, first, n, _ in scanner.windows(stream):
+                got[k] = max(got.get(k, 0), dice)
+            for k, (_, bag) in enumerate(scanner.templates):
+                best = every_window(stream, bag)
+                assert got.get(k, 0) == (best if best >= L.THRESHOLD else 0)
+            found += bool(got)
+    assert found > len(L.TEMPLATES) * 2
+
+
+def test_passages_reach_the_table(spark):
+    docs = spark.createDataFrame([(1, "prose. Released under the MIT License. prose"), (2, "prose")], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in L.scan(docs).collect()}
+    assert rows[1]["license"] == "MIT" and rows[1]["matches"][0]["n_lines"] == 1 and rows[2]["license"] is None

@@ -1,10 +1,16 @@
-"""Licence scan: whole texts and their lines against licence templates, by Dice coefficient over word bigrams.
+"""Licence scan: texts, their lines and all windows of their words against licence templates, by Dice coefficient over word bigrams.
 
 Both sides are normalised alike: case, punctuation, years and copyright lines do not count, some spellings are
 made one. A unit (the whole text, and each line of it) is compared with a template only if its number of bigrams allows
 the threshold (Dice >= t needs a size ratio of at least t / (2 - t)) and if it has one of the template's few bigrams of which
 every unit that reaches the threshold has at least one. Both prunings are exact.
 
+Passages are windows of the word stream, wherever they begin and end: licences wrapped over lines, or within other text. A
+window can reach the threshold only where enough of the template's bigrams lie within its largest size; around these places every window that begins
+and ends with one of them is measured (any other window is less similar than one of these). Per beginning the most similar end counts. Of windows
+that share half of their matched bigrams the one with the larger matched number times Dice stays; one that only repeats a unit's
+licence within that unit's lines is not listed again.
+
 Null and empty texts match nothing. Repeated rows are scanned each; of equally similar templates the first by name
 counts. An empty table gives an empty result; extra columns are ignored.
 """
@@ -12,9 +18,12 @@ counts. An empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +84,8 @@ SAME_WORDS = {b"licence": b"license", b"licences": b"licenses", b"licenced": b"l
 #: Letters, digits and dots between digits stay; the rest separates.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 46 else 32 for c in range(256))
 COPYRIGHT = re.compile(rb"^\W*(?:copyright|\(c\)|\xc2\xa9)[ \t].*$", re.I | re.M)
+#: Of wrapped licences, lines that only happen to begin with the word stay.
+COPYRIGHT_LINE = re.compile(rb"^[^\w\n]*(?:copyright(?![ \t]+(?:notices?|holders?|owners?|licen[cs]e|laws?|and|or)\b)|\(c\)|\xc2\xa9)[ \t]", re.I)
 
 Bigram = tuple[bytes, bytes]
 
@@ -109,6 +120,12 @@ class Scanner:
                 self.cues.setdefault(b, []).append(k)
                 left -= bag[b]
         self.cue_words = frozenset(a for a, _ in self.cues)
+        self.numbers = {b: i for i, b in enumerate(common)}
+        self.caps = np.zeros((len(self.templates), len(common)), np.int32)  # how often a template has a bigram
+        for k, (_, bag) in enumerate(self.templates):
+            for b, n in bag.items():
+                self.caps[k, self.numbers[b]] = n
+        self.single = {a: self.numbers[a, b] for a, b in self.numbers if not b}
 
     def _bounds(self, size: int) -> tuple[int, int]:
         t = self.threshold
@@ -142,6 +159,67 @@ class Scanner:
                 out.append((name, dice, first, n))
         return out
 
+    def windows(self, found: list[bytes]) -> list[tuple[float, float, int, int, int, np.ndarray]]:
+        """(matched * Dice, Dice, template, first bigram, bigrams, places of the template's bigrams) of the best window per template and beginning."""
+        if self.cue_words.isdisjoint(found):
+            return []
+        hits = [(i, v) for i, v in enumerate(map(self.numbers.get, zip(found, found[1:]))) if v is not None]
+        if not self.single.keys().isdisjoint(found):
+            hits = sorted(hits + [(i, self.single[w]) for i, w in enumerate(found) if w in self.single])
+        if not hits:
+            return []
+        places, kinds = np.array(hits, np.int64).T
+        out = []
+        for k, size in enumerate(self.sizes):
+            low, high = self._bounds(size)
+            need = max(1, int(-(-self.threshold * (size + low) // 2)))
+            mine = self.caps[k][kinds] > 0
+            at, own = places[mine], kinds[mine]
+            if len(at) < need:
+                continue
+            begins = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < high)
+            if not len(begins):
+                continue
+            # a bigram counts in a window that has fewer than its number in the template before it: one that begins after `full`
+            order = np.lexsort((at, own))
+            full = np.full(len(at), -1)
+            cap = self.caps[k][own[order]]
+            back = np.arange(len(at)) - cap
+            same = (back >= 0) & (own[order][np.maximum(back, 0)] == own[order])
+            full[order[same]] = order[back[same]]
+            for a in begins.tolist():
+                b = int(np.searchsorted(at, at[a] + high))
+                sizes = at[a:b] - at[a] + 1
+                matched = np.cumsum(full[a:b] < a)
+                dice = 2 * matched / (sizes + size)
+                e = int(dice.argmax())
+                if dice[e] >= self.threshold:
+                    out.append((float(matched[e] * dice[e]), float(dice[e]), k, int(at[a]), int(sizes[e]), at[a : a + e + 1]))
+        return out
+
+    def passages(self, found: list[bytes]) -> list[tuple[str, float, int, int]]:
+        """(template, Dice, first bigram, bigrams) of the windows that stay, in the order of the words."""
+        used = np.zeros(len(found), bool)
+        out = []
+        for _, dice, k, first, n, at in sorted(self.windows(found), key=lambda w: (-w[0], w[2], w[3])):
+            if 2 * used[at].sum() < len(at):
+                used[at] = True
+                out.append((self.templates[k][0], dice, first, n))
+        return sorted(out, key=lambda p: (p[2], -p[3], p[0]))
+
+    def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """What `scan` finds, and after it (template, Dice, first line, lines) of the passages."""
+        out = self.scan(text)
+        lines = [words(x) if not COPYRIGHT_LINE.match(x) else [] for x in text.split(b"\n")]
+        found = [w for x in lines for w in x]
+        ends = None
+        for name, dice, first, n in self.passages(found):
+            ends = ends or list(accumulate(map(len, lines)))
+            a, b = bisect_right(ends, first), bisect_right(ends, min(first + n, len(found) - 1))
+            if not any(u == name and i <= a and b < i + m for u, _, i, m in out):
+                out.append((name, dice, a, b - a + 1))
+        return out
+
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, license and dice of its best match (null without), matches (template, dice, first line, number of lines)."""
@@ -149,7 +227,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
         for batch in slices(batches, "text"):
-            rows = [scanner.scan((t or "").encode()) for t in batch.column("text").to_pylist()]
+            rows = [scanner.find((t or "").encode()) for t in batch.column("text").to_pylist()]
             best = [min(r, key=lambda m: (-m[1], m[0])) if r else (None, None) for r in rows]
             found = [[{"license": a, "dice": b, "line": c, "n_lines": d} for a, b, c, d in r] for r in rows]
             yield pa.RecordBatch.from_arrays(
