@@ -11,6 +11,11 @@ and ends with one of them is measured (any other window is less similar than one
 that share half of their matched bigrams the one with the larger matched number times Dice stays; one that only repeats a unit's
 licence within that unit's lines is not listed again.
 
+Covered are TEMPLATES (short notices, headers and short licences) and the full texts in `license_texts`; nothing else is named. Not
+covered are other versions and kinds, among them the full text of AGPL-3.0, BSD-4-Clause, MIT-0, 0BSD and CC texts but CC0. Where siblings are alike
+beyond the threshold, a licence is named only if the words that tell it apart (MARKS) are there, and those of its sibling are not; else the
+place is left unnamed. `Scanner.scan` compares by Dice alone.
+
 Null and empty texts match nothing. Repeated rows are scanned each; of equally similar templates the first by name
 counts. An empty table gives an empty result; extra columns are ignored.
 """
@@ -22,6 +27,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,36 @@ from tracewell.llm.text import slices
 
 THRESHOLD = 0.9
 
+GNU = """This program is free software{0} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software
+Foundation{2} either version {3} of the License, or (at your option) any later version. This program is distributed in the hope that it will be
+useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}
+for more details. You should have received a copy of the GNU {1} along with this program. If not, see https://www.gnu.org/licenses/."""
+
 # Licence texts and notices, as they are published.
 TEMPLATES = {
+    "AGPL-3.0 (header)": GNU.format(":", "Affero General Public License", ",", "3"),
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED
+BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "CC0-1.0 (notice)": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this
+software to the public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain
+Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/.""",
+    "GPL-2.0 (header)": GNU.format(";", "General Public License", ";", "2"),
+    "GPL-2.0 (header, by post)": GNU.format(";", "General Public License", ";", "2").replace(
+        "If not, see https://www.gnu.org/licenses/.",
+        "If not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    "LGPL-2.1 (header)": GNU.format(";", "Lesser General Public License", ";", "2.1").replace("program", "library"),
+    "LGPL-3.0 (header)": GNU.format(":", "Lesser General Public License", ",", "3"),
+    "MPL-2.0 (notice)": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 (header)": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
 with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
@@ -78,14 +112,53 @@ IN THE SOFTWARE.""",
 sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 
+
+def full_texts() -> dict[str, str]:
+    """The terms of longer licences, without what follows on how to apply them."""
+    return {f"{p.stem} (full text)": p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+#: Phrases, normalised, that tell a template from its siblings: those that must be there, and those that must not.
+MARKS: dict[str, tuple[tuple[bytes, ...], tuple[bytes, ...]]] = {
+    "AGPL-3.0 (header)": ((b"affero", b"version 3"), ()),
+    "Apache-2.0": ((b"apache license", b"version 2.0"), ()),
+    "Apache-2.0 (header)": ((b"apache license", b"version 2.0"), ()),
+    "BSD-2-Clause": ((), (b"endorse", b"promote", b"advertising")),
+    "BSD-3-Clause": ((b"endorse or promote",), (b"advertising",)),
+    "CC-BY-4.0 (notice)": ((b"attribution 4.0",), ()),
+    "CC-BY-NC-4.0 (notice)": ((b"attribution nc 4.0",), ()),
+    "CC-BY-SA-4.0 (notice)": ((b"attribution sa 4.0",), ()),
+    "GPL-2.0": ((b"version 2",), (b"affero", b"lesser", b"library")),
+    "GPL-2.0 (full text)": ((b"version 2",), (b"affero",)),
+    "GPL-2.0 (header)": ((b"version 2",), (b"affero", b"lesser", b"library general")),
+    "GPL-2.0 (header, by post)": ((b"version 2",), (b"affero", b"lesser", b"library general")),
+    "GPL-3.0": ((b"version 3",), (b"affero", b"lesser", b"library")),
+    "GPL-3.0 (full text)": ((b"version 3",), (b"remote network",)),
+    "GPL-3.0 (header)": ((b"version 3",), (b"affero", b"lesser", b"library general")),
+    "ISC": ((b"provided that",), ()),
+    "LGPL-2.1 (full text)": ((b"lesser general",), (b"library general",)),
+    "LGPL-2.1 (header)": ((b"lesser", b"version 2.1"), ()),
+    "LGPL-3.0 (full text)": ((b"lesser general", b"version 3"), ()),
+    "LGPL-3.0 (header)": ((b"lesser", b"version 3"), ()),
+    "MIT (text)": ((b"notice shall be",), ()),
+    "MPL-2.0 (notice)": ((b"mozilla", b"2.0"), ()),
+}
+
+
+def named(name: str, found: list[bytes]) -> bool:
+    """Whether the words have the marks of the template."""
+    must, never = MARKS.get(name, ((), ()))
+    text = b" %s " % b" ".join(found)
+    return all(b" %s " % m in text for m in must) and not any(b" %s " % m in text for m in never)
+
+
 # Spellings that count as one.
 SAME_WORDS = {b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed", b"noncommercial": b"nc", b"sharealike": b"sa"}
 
 #: Letters, digits and dots between digits stay; the rest separates.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 46 else 32 for c in range(256))
-COPYRIGHT = re.compile(rb"^\W*(?:copyright|\(c\)|\xc2\xa9)[ \t].*$", re.I | re.M)
 #: Of wrapped licences, lines that only happen to begin with the word stay.
-COPYRIGHT_LINE = re.compile(rb"^[^\w\n]*(?:copyright(?![ \t]+(?:notices?|holders?|owners?|licen[cs]e|laws?|and|or)\b)|\(c\)|\xc2\xa9)[ \t]", re.I)
+COPYRIGHT = re.compile(rb"^[^\w\n]*(?:copyright(?![ \t]+(?:notices?|holders?|owners?|licen[cs]e|laws?|and|or)\b)|\(c\)|\xc2\xa9)[ \t].*$", re.I | re.M)
 
 Bigram = tuple[bytes, bytes]
 
@@ -147,14 +220,17 @@ class Scanner:
                     out.append((dice, self.templates[k][0]))
         return out
 
-    def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """(template, Dice, first line, lines) of the best template per unit; the whole text before its lines."""
+    def scan(self, text: bytes, marked: bool = False) -> list[tuple[str, float, int, int]]:
+        """(template, Dice, first line, lines) of the best template per unit, if `marked` of those whose marks are there; the whole text before its lines."""
         units = [(0, text.count(b"\n") + 1, COPYRIGHT.sub(b"", text) if b"opyright" in text or b"OPYRIGHT" in text or b"(c)" in text or b"\xc2\xa9" in text else text)]
         if units[0][1] > 1:
             units += [(i, 1, line) for i, line in enumerate(text.split(b"\n")) if line]
         out = []
         for first, n, unit in units:
-            if reached := self.compare(words(unit)):
+            reached = self.compare(found := words(unit))
+            if marked:
+                reached = [r for r in reached if named(r[1], found)]
+            if reached:
                 dice, name = min(reached, key=lambda r: (-r[0], r[1]))
                 out.append((name, dice, first, n))
         return out
@@ -202,27 +278,32 @@ class Scanner:
         used = np.zeros(len(found), bool)
         out = []
         for _, dice, k, first, n, at in sorted(self.windows(found), key=lambda w: (-w[0], w[2], w[3])):
-            if 2 * used[at].sum() < len(at):
+            if 2 * used[at].sum() < len(at) and named(self.templates[k][0], found[first : first + n + 1]):
                 used[at] = True
                 out.append((self.templates[k][0], dice, first, n))
         return sorted(out, key=lambda p: (p[2], -p[3], p[0]))
 
     def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """What `scan` finds, and after it (template, Dice, first line, lines) of the passages."""
-        out = self.scan(text)
-        lines = [words(x) if not COPYRIGHT_LINE.match(x) else [] for x in text.split(b"\n")]
+        """What `scan` finds and marks allow, and after it (template, Dice, first line, lines) of the passages."""
+        if self.cue_words.isdisjoint(words(text)):
+            return []
+        out = self.scan(text, marked=True)
+        lines = [words(x) for x in COPYRIGHT.sub(b"", text).split(b"\n")]
+        ends = list(accumulate(map(len, lines)))
         found = [w for x in lines for w in x]
-        ends = None
-        for name, dice, first, n in self.passages(found):
-            ends = ends or list(accumulate(map(len, lines)))
-            a, b = bisect_right(ends, first), bisect_right(ends, min(first + n, len(found) - 1))
-            if not any(u == name and i <= a and b < i + m for u, _, i, m in out):
+        places = [(name, dice, bisect_right(ends, a), bisect_right(ends, min(a + n, len(found) - 1))) for name, dice, a, n in self.passages(found)]
+        for m in COPYRIGHT.finditer(text):  # a notice may follow on the copyright line itself
+            i = text.count(b"\n", 0, m.start())
+            places += [(name, dice, i, i) for name, dice, _, _ in self.passages(words(m[0]))]
+        for name, dice, a, b in places:
+            if not any(u == name and i <= a and b < i + n for u, _, i, n in out):
                 out.append((name, dice, a, b - a + 1))
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, license and dice of its best match (null without), matches (template, dice, first line, number of lines)."""
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """By the given templates, or all covered ones, per document: doc_id, license and dice of its best match (null without), matches (template, dice, first line, number of lines)."""
+    templates = TEMPLATES | full_texts() if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
