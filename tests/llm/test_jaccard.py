@@ -88,6 +88,17 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups.values())
 
 
+def test_blocks_without_members(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_BYTES", 64)  # two texts in some ten blocks: most are empty
+    own = [f"w{i}" for i in range(80)]
+    texts = {1: " ".join(own), 2: " ".join(own[:-1])}
+    check(J.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect(), texts)
+    # found in the same block of a bucket, the pair counts in the piece of that block only
+    rows = [(bytes([k]), 5, 0, low, high, 1, t) for k, t in texts.items() for low, high in ((0, 1), (1, 1), (1, 2))]
+    members = spark.createDataFrame(rows, "key binary, bucket bigint, band int, low int, high int, block int, text string")
+    assert [r["n_links"] for r in J.verified(members, *J.bands_for()).collect()] == [1, 1]
+
+
 def test_query(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     check(J.op8_near_duplicates(spark, sf).collect(), texts)

@@ -173,11 +173,11 @@ def linked_pairs(values: np.ndarray, at: np.ndarray, threshold: Fraction) -> tup
     return np.nonzero(np.triu(linked, 1))
 
 
-def _piece(texts: pa.Array, band: int, block: np.ndarray, bands: int, rows: int, n: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Of one pair of blocks of one bucket: per text its links that count here, and the index of its group's first text."""
+def _piece(texts: pa.Array, band: int, block: np.ndarray, within: bool, bands: int, rows: int, n: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Of one pair of blocks of one bucket (`within`: a block and itself): per text its links that count here, and the index of its group's first text."""
     values, at = shingles(texts, n)
     i, j = linked_pairs(values, at, threshold)
-    if block.min() != block.max():  # pairs inside a block have a piece of their own
+    if not within:  # pairs inside a block have a piece of their own, also where the other block is empty
         across = block[i] != block[j]
         i, j = i[across], j[across]
     if len(i):
@@ -209,7 +209,7 @@ def verified(members: DataFrame, bands: int, rows: int, n: int = N, threshold: f
             piece = pa.Table.from_batches(rest).combine_chunks()
             if piece.num_rows < 2:
                 return None
-            links, root = _piece(pa.concat_arrays(piece["text"].chunks), piece["band"][0].as_py(), piece["block"].to_numpy(), bands, rows, n, exact)
+            links, root = _piece(pa.concat_arrays(piece["text"].chunks), piece["band"][0].as_py(), piece["block"].to_numpy(), piece["low"][0].as_py() == piece["high"][0].as_py(), bands, rows, n, exact)
             some = np.flatnonzero(links)
             if not len(some):
                 return None
