@@ -76,3 +76,11 @@ def test_edges(spark):
     assert sorted((r["doc_id"] or 0, r["n_hit"]) for r in C.contamination(docs, items).collect()) == [(0, 2), (1, 2), (1, 2), (2, 0)]
     assert C.contamination(docs.limit(0), items).count() == 0
     assert C.contamination(docs, items.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_items_without_id_hit_words(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    d = spark.createDataFrame([(1, "before " + passage), (2, "other words")], "doc_id bigint, text string")
+    b = spark.createDataFrame([(None, passage), (7, "no such passage")], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in C.contamination(d, b).collect()}
+    assert got == {1: (20, 0, [], True), 2: (0, 0, [], False)}

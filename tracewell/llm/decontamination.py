@@ -11,7 +11,8 @@ the list is empty or all terms are matched: exact phrases. `near` finds unordere
 A segment bounds every piece of work, whatever a term's or a document's share of the corpus
 (a single longer text is a segment of its own). Null texts and texts without words have no
 postings, match nothing and are reported with zeros. Items without words have no window.
-Rows with repeated or null doc_id are told apart; repeated item_ids count once, null ones are left out.
+Rows with repeated or null doc_id are told apart; repeated item_ids count once; items without an id hit
+words like others, and are left out of the ids and their number only.
 Empty tables give empty results. Extra columns are ignored (`drop_contaminated` keeps them).
 """
 
@@ -113,10 +114,10 @@ def words_of(text: str | None) -> Window:
     return tuple((text or "").encode().translate(LOWER_WORDS).split())
 
 
-def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[str, Window]]]:
-    """(item_id as a string, words) of all items with words, in lists of at most about `limit` words."""
+def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, Window]]]:
+    """(item_id as a string or null, words) of all items with words, in lists of at most about `limit` words."""
     block, size = [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL").toLocalIterator():
+    for r in items.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words = words_of(r["text"])
         if words:
             block.append((r["item_id"], words))
@@ -180,7 +181,7 @@ def search(index: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame
         owners: dict[Window, list[str]] = defaultdict(list)
         for item_id, words in block:
             for w in windows_of(words, width):
-                owners[w].append(item_id)
+                owners[w] += [item_id] if item_id is not None else []
         terms = list({t for w in owners for t in w})
         counts = counts_of(index, terms)
         found = by_segment(index, terms, "row int, ranges array<struct<a:bigint,b:bigint>>, items array<string>", _phrase_search(owners, counts))
@@ -268,7 +269,7 @@ def _near_search(queries: list[tuple[str, list[bytes], int]]):
                     if len(last) == len(terms) and (size := x + 1 - min(last.values())) <= span:
                         start = min(last.values()) - low
                         best[d, item_id] = min(best.get((d, item_id), (span + 1, 0, 0)), (size, start, start + size))
-        keys = sorted(best)
+        keys = sorted(best, key=lambda k: (k[0], k[1] is not None, k[1] or ""))
         return {
             "row": pa.array([d for d, _ in keys], pa.int32()),
             "item_id": pa.array([i for _, i in keys], pa.string()),
