@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 
@@ -80,3 +81,15 @@ def test_query_and_edges(spark, sf):
     odd = spark.createDataFrame([(1, None, 1), (None, "", 2), (2, "token = abcdefgh " * 20000, 3), (2, "token = abcdefgh " * 20000, 3)], "doc_id bigint, text string, spans int")
     assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in S.scan(odd).collect()) == [(0, 0), (1, 0), (2, 20000), (2, 20000)]
     assert S.scan(odd.limit(0)).count() == 0 and S.scan(odd.where("doc_id = 1")).count() == 1
+
+
+def test_chains_of_a_sample_full_of_secrets():
+    n = 3 * S.TRAIN_CHAINS
+    tokens = SimpleNamespace(fresh=np.ones(n, bool), starts=np.arange(n))
+    labels = np.zeros(n, np.int64)
+    labels[: n - S.TRAIN_CHAINS] = 1
+    picked = np.array([p[0] for p in S.chains(tokens, labels, np.random.default_rng(1))])
+    assert len(picked) == S.TRAIN_CHAINS and (labels[picked] == 0).sum() == S.TRAIN_CHAINS * S.NO_SECRET
+    assert (picked[labels[picked] == 1] >= S.TRAIN_CHAINS).any()  # not only the first ones
+    labels[10:] = 0
+    assert set(range(10)) <= {p[0] for p in S.chains(tokens, labels, np.random.default_rng(1))}

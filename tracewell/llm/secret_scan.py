@@ -37,6 +37,7 @@ _hex = re.compile(r"[0-9a-f]{32,}")  # runs of [0-9a-f]+ with 32 characters at l
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 4000
 TRAIN_CHAINS = 6000
+NO_SECRET = 0.25  # share of training chains that is kept for those without a secret
 CHAIN = 48
 EPOCHS = 12
 MIN_LENGTH = 8  # of a token that the field may add
@@ -148,13 +149,14 @@ class Field:
 
 
 def chains(tokens: Tokens, labels: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
-    """Token numbers of training chains: lines, cut to CHAIN tokens; all with a secret, and others up to TRAIN_CHAINS."""
+    """Token numbers of training chains: lines, cut to CHAIN tokens; those with a secret first, but NO_SECRET of
+    TRAIN_CHAINS are kept for others, as far as there are any. Which ones, chance decides."""
     cuts = np.flatnonzero(tokens.fresh)
     pieces = [np.arange(i, min(i + CHAIN, b)) for a, b in zip(cuts, np.append(cuts[1:], len(tokens.starts))) for i in range(a, b, CHAIN)]
     secret = np.array([labels[p].any() for p in pieces], bool)
-    rest = np.flatnonzero(~secret)
-    rest = rng.permutation(rest)[: max(0, TRAIN_CHAINS - int(secret.sum()))]
-    return [pieces[i] for i in sorted([*np.flatnonzero(secret)[:TRAIN_CHAINS].tolist(), *rest.tolist()])]
+    have, rest = rng.permutation(np.flatnonzero(secret)), rng.permutation(np.flatnonzero(~secret))
+    have = have[: TRAIN_CHAINS - min(len(rest), int(TRAIN_CHAINS * NO_SECRET))]
+    return [pieces[i] for i in sorted([*have.tolist(), *rest[: TRAIN_CHAINS - len(have)].tolist()])]
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
