@@ -118,3 +118,12 @@ def test_edges(spark):
     out = Q.quality(docs).collect()
     assert sorted((r["n_words"], r["kept"]) for r in out) == [(0, False), (0, False), (60, True), (60, True), (60, True), (100_000, False)]
     assert Q.quality(docs.limit(0)).count() == 0 and Q.keep_quality(docs.limit(0)).count() == 0
+
+
+def test_small_languages_are_judged_by_all_rows(spark):
+    rules = Q.Rules(min_rows=20)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60 + i)), "en", "a") for i in range(30)]
+    rows += [(100, " ".join(f"v{k}" for k in range(70)), None, "b"), (101, " ".join(f"#v{k}|{{}}" for k in range(70)), "xx", "b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in Q.quality(docs, rules).collect()}
+    assert got[100]["distance"] is not None and got[100]["kept"] and not got[101]["kept"]

@@ -7,7 +7,8 @@ the spread around it, the share H of rows nearest by Mahalanobis distance gives
 the next mean and covariance, until the determinant no longer falls; rows inside
 the 97.5 % ellipsoid then give the final ones. Each step is one aggregation over all rows: sums per
 (group, distance bin), so that no group meets in one task, however large. A group of
-under MIN_ROWS rows uses its language, a language of under MIN_ROWS rows is not judged.
+under MIN_ROWS rows uses its language, a language of under MIN_ROWS rows the estimates over all rows. Only a table
+of under MIN_ROWS rows is not judged.
 
 Null text counts as empty and fails the base rule. Null lang or source is a value of its own.
 Repeated rows count and are judged each. An empty table gives an empty result. Extra columns stay.
@@ -148,6 +149,7 @@ FIT = T.StructType(
         T.StructField("log_det", T.DoubleType()),
     ]
 )
+EVERYTHING = "[]"  # the level of all rows
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
@@ -259,23 +261,29 @@ def fit(measured: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFra
     good = measured.where(~F.col("base_failed"))
     n = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_lang = Window.partitionBy("lang")
+    total = n.agg(F.sum("n")).first()[0] or 0
     levels = written(
         n.withColumn("n_lang", F.sum("n").over(by_lang)).select(
             "lang",
             "source",
             F.when(F.col("n") >= rules.min_rows, level_name("lang", "source"))
             .when(F.col("n_lang") >= rules.min_rows, level_name("lang"))
+            .when(F.lit(total >= rules.min_rows), F.lit(EVERYTHING))
             .alias("level"),
             (F.col("n") < rules.min_rows).alias("shared"),
         ),
         "quality-levels",
     )
     # a language's estimates, where a small group needs them, come from all its rows
-    needed = levels.where("shared AND level IS NOT NULL").select(F.col("lang").alias("needed_lang"), F.col("level").alias("needed")).distinct()
+    small = F.col("level") == EVERYTHING
+    needed = levels.where(F.col("shared") & ~small).select(F.col("lang").alias("needed_lang"), F.col("level").alias("needed")).distinct()
     narrow = good.select("lang", "source", "vector")
     own = narrow.join(levels.where("NOT shared"), narrow["lang"].eqNullSafe(levels["lang"]) & narrow["source"].eqNullSafe(levels["source"])).select("level", "vector")
     whole = narrow.join(needed, F.col("lang").eqNullSafe(F.col("needed_lang"))).select(F.col("needed").alias("level"), "vector")
-    vectors = written(own.unionByName(whole), "quality-vectors")
+    vectors = own.unionByName(whole)
+    if not levels.where(small).isEmpty():
+        vectors = vectors.unionByName(narrow.select(F.lit(EVERYTHING).alias("level"), "vector"))
+    vectors = written(vectors, "quality-vectors")
 
     def binned(fits: DataFrame) -> DataFrame:
         d = vectors.join(fits, "level").withColumn("bin", F.floor(F.log2(F.greatest(distance(), F.lit(1e-6))) * 32))
