@@ -26,7 +26,7 @@ def brute(text):
     """The base kinds straight from their patterns."""
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p[-4000:]) <= 255 and not p[:-4000].strip("0") for p in m.group().split("."))]
     for m in CARD.finditer(text):
         d = re.sub("[^0-9]", "", m.group())
         if 14 <= len(d) <= 19 and luhn(d):
@@ -45,6 +45,8 @@ CASES = [
     "4111 1111 1111 1111", "4111-1111-1111-1111x", "4111  111111111111", "41111111111111111111111", "79927398713",
     "+1 (555) 123-4567", "+1", "+12", "+1--------", "++49 30 1234567 8", "+1(2)3456789012345678", "+1 234 567 8901+1 234 567 8901",
     "1.2.3.4+1 234 567 8901@a.b", "٣٤@a.b", "x" * 5000 + "@" + "y." * 50 + "z", "1" * 300, "1 " * 300, "+1" + " " * 300,
+    "0" * 5000 + ".1.1.1", "1.1.1." + "0" * 5000 + "255", "9" * 5000 + ".1.1.1", "4" + "0" * 6000, "+" + "1" * 6000, "a@b." + "1" * 6000,
+    "IBAN DE" + "1" * 6000, "account no " + "2" * 6000,
 ]
 
 

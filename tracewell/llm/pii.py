@@ -79,7 +79,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
             first = last == 0 or text[last - 1] not in DIGITS
             if last >= past[1] and (first or last == past[1]) and (m := _ip(text, last)):
                 past[1] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m.group().split("."))):
                     spans.append((last, 1, m.end()))
             if last >= past[2] and (m := _card(text, last)):
                 past[2] = m.end()
