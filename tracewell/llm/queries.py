@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracewell.llm import alignment, decontamination, jaccard, licenses, pieces, pii, quality, secret_scan, sharding, toxicity, warc
+from tracewell.llm import alignment, decontamination, jaccard, licenses, onebit, pieces, pii, quality, secret_scan, sharding, toxicity, warc
 from tracewell.llm.text import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_duplicates": _ready(jaccard.op8_near_duplicates),
     "op9_sentencepiece": _ready(pieces.op9_sentencepiece),
     "op10_quality_outliers": _ready(quality.op10_quality_outliers),
+    "op11_nearest": _ready(onebit.op11_nearest),
     "op13_alignment": _ready(alignment.op13_alignment),
     "pipeline": _ready(corpus_pipeline.run),
 }
