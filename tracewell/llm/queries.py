@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tracewell.llm import alignment, decontamination, jaccard, licenses, onebit, pieces, pii, quality, secret_scan, sharding, toxicity, warc
+from tracewell.llm import alignment, decontamination, jaccard, licenses, onebit, pieces, pii, quality, ranking, secret_scan, sharding, toxicity, warc
 from tracewell.llm.text import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,9 @@ QUERIES: dict[str, Query] = {
     "op9_sentencepiece": _ready(pieces.op9_sentencepiece),
     "op10_quality_outliers": _ready(quality.op10_quality_outliers),
     "op11_nearest": _ready(onebit.op11_nearest),
+    "op12_ranked_search": _ready(ranking.op12_ranked_search),
     "op13_alignment": _ready(alignment.op13_alignment),
     "pipeline": _ready(corpus_pipeline.run),
 }
 
-ORACLE: dict[str, str] = {"op1_warc_packages": warc.SQL, "op5_decontamination": decontamination.SQL}
+ORACLE: dict[str, str] = {"op1_warc_packages": warc.SQL, "op5_decontamination": decontamination.SQL, "op12_ranked_search": ranking.SQL}
