@@ -85,7 +85,7 @@ def test_equals_brute_force(spark, sides, limits):
     texts = made()
     importable(spark)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, segment string, row int").repartition(5)
-    got = rows_of(L.measured(L.links(L.align(docs, L.shared(spark), **limits))))
+    got = rows_of(L.measured(L.links(docs, L.shared(spark), **limits)))
     assert [got[i] for i in range(len(texts))] == brute(texts, sides)
 
 
@@ -93,7 +93,7 @@ def test_large_groups_and_many_segments(spark, sides, monkeypatch):
     monkeypatch.setattr(L, "SEGMENT_TOKENS", 200)
     texts = made()[:60]
     docs = importable(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
-    got = rows_of(L.measured(L.links(L.align(docs, L.shared(spark)))))
+    got = rows_of(L.measured(L.links(docs, L.shared(spark))))
     assert [got[i] for i in range(len(texts))] == brute(texts, sides)
     rng = np.random.default_rng(1)
     na, nb = rng.integers(1, 9, 40), rng.integers(1, 9, 40)
@@ -135,10 +135,10 @@ def test_parts_are_cut_where_no_token_crosses(sides):
 def test_edges(spark):
     voc = L.shared(importable(spark))
     docs = spark.createDataFrame([(None, "the end"), (7, "the end"), (7, "the end"), (8, None)], "doc_id bigint, text string")
-    out = sorted((r["doc_id"] or 0, r["n_a"], r["n_links"], r["n_best"], r["count_sum"], r["groups_sha256"]) for r in L.measured(L.links(L.align(docs, voc))).collect())
+    out = sorted((r["doc_id"] or 0, r["n_a"], r["n_links"], r["n_best"], r["count_sum"], r["groups_sha256"]) for r in L.measured(L.links(docs, voc)).collect())
     digest = out[0][-1]
     assert out == [(0, 2, 2, 2, 6, digest), (7, 2, 2, 2, 6, digest), (7, 2, 2, 2, 6, digest), (8, 0, 0, 0, 0, "")]
-    assert L.measured(L.links(L.align(docs.limit(0), voc))).count() == 0
+    assert L.measured(L.links(docs.limit(0), voc)).count() == 0
     plain = {r["doc_id"]: (r["a"], r["na"]) for r in L.align(docs.where("doc_id = 8 OR doc_id = 7").distinct(), voc).collect()}
     assert len(plain[7][0]) == sum(plain[7][1]) == 2 and plain[8] == ([], [])
 

@@ -28,6 +28,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_BYTES = 64 << 10  # a fragment's byte range
 PART_CHARS = 1 << 18  # texts are tokenised in parts of about this size
 FAN = 16  # fragments composed at a time
-SEGMENT_TOKENS = 1 << 20  # tokens of one side in a segment of links
+SEGMENT_TOKENS = 1 << 19  # tokens of one side in a segment of links
 GROUP_LINKS = 1 << 12  # groups of more links are counted by distinct ids
 
 # Fixed value: the pattern by which byte-level BPE vocabularies of this kind cut a text before merging.
@@ -106,13 +107,13 @@ class Tokenizers:
 
     def tokens(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
         """Ids of both sides per unit, and whether both give the unit's bytes back."""
-        a = [self.a.encode_to_numpy(u).astype(np.int32) for u in units]
+        a = list(map(self.a.encode_ordinary, units))
         b = self.b.encode([u[1:] for u in units], num_threads=1) if units else []
         good = []
         for u, x, y in zip(units, a, b):
             raw = u.encode()
-            good.append(b"".join(map(self.a_bytes.__getitem__, x.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw)
-        return a, [np.array(y, np.int32) for y in b], good
+            good.append(b"".join(map(self.a_bytes.__getitem__, x)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw)
+        return [np.array(x, np.int32) for x in a], [np.array(y, np.int32) for y in b], good
 
 
 _made: dict[int, Tokenizers] = {}
@@ -197,24 +198,36 @@ def _columns(found: list[Fragment]) -> list[pa.Array]:
     return [_lists([getattr(f, k) for f in found]) for k in ("a", "b", "na", "nb")]
 
 
+def _short(vocabularies: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of one fragment each: doc_id and text in, what `align` returns out."""
+    tokenizers = _tokenizers(vocabularies)
+    for batch in slices(batches, "text", 2 << 20):
+        texts = batch.column("text").to_pylist()
+        a, b, good = tokenizers.tokens([" " + t for t in texts if t])
+        rest = iter(zip(a, b, good))
+        found = []
+        for t in texts:
+            x, y, held = next(rest) if t else (EMPTY.a, EMPTY.b, False)
+            ends = np.cumsum(tokenizers.a_lengths[x]), np.cumsum(tokenizers.b_lengths[y])
+            found.append(_closed(Fragment(x, y, *counts_between(*ends))) if held else _closed(Fragment(x, y, x, y, False)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_columns(found)], names=["doc_id", "a", "b", "na", "nb"])
+
+
+def _of_one_fragment(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    return docs.select("doc_id", "text").where((F.octet_length("text") <= chunk_bytes) | F.col("text").isNull())
+
+
 def align(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int = CHUNK_BYTES, part_chars: int = PART_CHARS, fan: int = FAN) -> DataFrame:
     """Per document: doc_id, a and b (token ids), na and nb (tokens of each side per group)."""
-    kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text")
-    size = F.octet_length("text")
+    run = partial(_short, vocabularies)
+    whole = _of_one_fragment(docs, chunk_bytes).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SIDES}")
+    return whole.unionByName(_long(docs, vocabularies, chunk_bytes, part_chars, fan))
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = _tokenizers(vocabularies)
-        for batch in slices(batches, "text", 2 << 20):
-            texts = batch.column("text").to_pylist()
-            a, b, good = tokenizers.tokens([" " + t for t in texts if t])
-            rest = iter(zip(a, b, good))
-            found = []
-            for t in texts:
-                x, y, held = next(rest) if t else (EMPTY.a, EMPTY.b, False)
-                ends = np.cumsum(tokenizers.a_lengths[x]), np.cumsum(tokenizers.b_lengths[y])
-                found.append(_closed(Fragment(x, y, *counts_between(*ends))) if held else _closed(Fragment(x, y, x, y, False)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_columns(found)], names=["doc_id", "a", "b", "na", "nb"])
+
+def _long(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int, part_chars: int, fan: int) -> DataFrame:
+    """`align` for documents of more than one fragment."""
+    kind = dict(docs.dtypes)["doc_id"]
+    docs = docs.select("doc_id", "text").where(F.octet_length("text") > chunk_bytes)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
@@ -262,8 +275,7 @@ def align(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int = CHUNK_BYT
             found = [_closed(Fragment(*x, good)) for *x, good in zip(*sides, batch.column("good").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_columns(found)], names=["doc_id", "a", "b", "na", "nb"])
 
-    whole = docs.where((size <= chunk_bytes) | F.col("text").isNull()).mapInArrow(short, f"doc_id {kind}, {SIDES}")
-    parts = written(docs.where(size > chunk_bytes).mapInArrow(split, f"key bigint, doc_id {kind}, start bigint, unit string"), "alignment-parts")
+    parts = written(docs.mapInArrow(split, f"key bigint, doc_id {kind}, start bigint, unit string"), "alignment-parts")
     rows = parts.repartition("key", "start").mapInArrow(cut, f"key bigint, node bigint, start bigint, good boolean, {SIDES}, doc_id {kind}")
     rows = written(rows, "alignment-fragments")
     last = rows.agg(F.max("node")).first()[0] or 0
@@ -271,7 +283,7 @@ def align(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int = CHUNK_BYT
         above = rows.withColumnRenamed("node", "below").withColumn("node", F.expr(f"below div {fan}"))
         rows = above.groupBy("key", "node").applyInArrow(composed, f"key bigint, node bigint, start bigint, good boolean, {SIDES}, doc_id {kind}")
         last = last // fan if last else -1
-    return whole.unionByName(rows.mapInArrow(close, f"doc_id {kind}, {SIDES}"))
+    return rows.mapInArrow(close, f"doc_id {kind}, {SIDES}")
 
 
 def pairs_of(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -340,59 +352,64 @@ class Spelling:
         return [hashlib.sha256(b"".join(map(text.__getitem__, codes[i:j].tolist()))).hexdigest() if i < j else "" for i, j in zip(at, at[1:])]
 
 
-def links(aligned: DataFrame) -> DataFrame:
+def links(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int = CHUNK_BYTES, part_chars: int = PART_CHARS, fan: int = FAN) -> DataFrame:
     """An index of linked ids, written: per segment and pair rows (a, b, rows, times); and, with a null, one row per
-    document (row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256)."""
-    kind = dict(aligned.dtypes)["doc_id"]
-    names = ["segment", "a", "b", "rows", "times", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    document (row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256). Documents of one fragment are aligned and
+    indexed by the same task."""
+    kind = dict(docs.dtypes)["doc_id"]
     schema = f"segment bigint, a int, b int, rows {INTS}, times array<bigint>, row int, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
+    run = lambda batches: _indexed(0, _short(vocabularies, batches))
+    whole = _of_one_fragment(docs, chunk_bytes).mapInArrow(run, schema)
+    rest = _long(docs, vocabularies, chunk_bytes, part_chars, fan).mapInArrow(partial(_indexed, 1), schema)
+    return written(whole.unionByName(rest), "alignment-links")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, spelling = TaskContext.get().partitionId() << 32, Spelling()
-        for k, batch in enumerate(_segments(batches)):
-            a, b, na, nb = (batch.column(c).flatten().to_numpy() for c in ("a", "b", "na", "nb"))
-            sizes = {c: pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b", "na")}
-            na, nb = na.astype(np.int64), nb.astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), sizes["na"])
-            x, y, rows, times = pairs_of(a, b, na, nb, row)
-            first = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
-            bounds = pa.array(np.append(first, len(x)), pa.int32())
-            n = len(first)
-            ints, longs = pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, base + k)),
-                    pa.array(x[first].astype(np.int32)),
-                    pa.array(y[first].astype(np.int32)),
-                    pa.ListArray.from_arrays(bounds, pa.array(rows.astype(np.int32))),
-                    pa.ListArray.from_arrays(bounds, pa.array(times)),
-                    ints,
-                    pa.nulls(n, batch.column("doc_id").type),
-                    *[longs] * 4,
-                    pa.nulls(n, pa.string()),
-                ],
-                names=names,
-            )
-            n = batch.num_rows
-            total = np.zeros(n, np.int64)
-            np.add.at(total, row, na * nb)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, base + k)),
-                    pa.nulls(n, pa.int32()),
-                    pa.nulls(n, pa.int32()),
-                    pa.nulls(n, _ints),
-                    pa.nulls(n, pa.list_(pa.int64())),
-                    pa.array(np.arange(n, dtype=np.int32)),
-                    batch.column("doc_id"),
-                    *(pa.array(sizes[c]) for c in ("a", "b", "na")),
-                    pa.array(total),
-                    pa.array(spelling.digests(a, b, na, nb, sizes["na"])),
-                ],
-                names=names,
-            )
-
-    return written(aligned.mapInArrow(run, schema), "alignment-links")
+def _indexed(side: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of `links` from aligned documents. `side` keeps segments of two sources apart."""
+    names = ["segment", "a", "b", "rows", "times", "row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    base, spelling = (2 * TaskContext.get().partitionId() + side) << 31, Spelling()
+    for k, batch in enumerate(_segments(batches)):
+        a, b, na, nb = (batch.column(c).flatten().to_numpy() for c in ("a", "b", "na", "nb"))
+        sizes = {c: pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("a", "b", "na")}
+        na, nb = na.astype(np.int64), nb.astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), sizes["na"])
+        x, y, rows, times = pairs_of(a, b, na, nb, row)
+        first = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
+        bounds = pa.array(np.append(first, len(x)), pa.int32())
+        n = len(first)
+        ints, longs = pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n, base + k)),
+                pa.array(x[first].astype(np.int32)),
+                pa.array(y[first].astype(np.int32)),
+                pa.ListArray.from_arrays(bounds, pa.array(rows.astype(np.int32))),
+                pa.ListArray.from_arrays(bounds, pa.array(times)),
+                ints,
+                pa.nulls(n, batch.column("doc_id").type),
+                *[longs] * 4,
+                pa.nulls(n, pa.string()),
+            ],
+            names=names,
+        )
+        n = batch.num_rows
+        total = np.zeros(n, np.int64)
+        np.add.at(total, row, na * nb)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(n, base + k)),
+                pa.nulls(n, pa.int32()),
+                pa.nulls(n, pa.int32()),
+                pa.nulls(n, _ints),
+                pa.nulls(n, pa.list_(pa.int64())),
+                pa.array(np.arange(n, dtype=np.int32)),
+                batch.column("doc_id"),
+                *(pa.array(sizes[c]) for c in ("a", "b", "na")),
+                pa.array(total),
+                pa.array(spelling.digests(a, b, na, nb, sizes["na"])),
+            ],
+            names=names,
+        )
 
 
 def pair_counts(index: DataFrame) -> DataFrame:
@@ -433,4 +450,4 @@ def shared(spark: SparkSession, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return measured(links(align(docs, shared(spark))))
+    return measured(links(docs, shared(spark)))
