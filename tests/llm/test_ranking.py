@@ -86,12 +86,12 @@ def test_pruning_opens_few_blocks_and_changes_nothing():
 
     frequent = np.flatnonzero(rng.random(n) < 0.6)
     tf = {b"often": np.ones(len(frequent), np.int64)}
-    tf[b"often"][:50] = 3
+    tf[b"often"][:50] = 40
     add(b"often", frequent, tf[b"often"])
-    rare = np.flatnonzero(rng.random(n) < 0.006)
-    tf[b"rare"] = rng.integers(1, 300, len(rare))
+    rare = np.flatnonzero(rng.random(n) < 0.05)
+    tf[b"rare"] = rng.integers(1, 9, len(rare))
     add(b"rare", rare, tf[b"rare"])
-    item = {b"often": 400, b"rare": 6000}
+    item = {b"often": 40, b"rare": 6000}
     score = np.zeros(n, np.int64)
     for t, rows in ((b"often", frequent), (b"rare", rare)):
         score[rows] += item[t] * R.impacts(tf[t], m[rows])
@@ -99,7 +99,7 @@ def test_pruning_opens_few_blocks_and_changes_nothing():
     rows, scores = R.Shard(lists, m, np.arange(n)).best(item, 20)
     assert rows.tolist() == want.tolist() and scores.tolist() == score[want].tolist()
     opened = sum(x is not None for x in lists[b"often"].found)
-    assert opened < 0.35 * len(lists[b"often"].found)
+    assert opened < 0.6 * len(lists[b"often"].found)
 
 
 def test_edges(spark):
