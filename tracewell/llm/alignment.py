@@ -46,7 +46,7 @@ PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_BYTES = 64 << 10  # a fragment's byte range
 PART_CHARS = 1 << 18  # texts are tokenised in parts of about this size
 FAN = 16  # fragments composed at a time
-SEGMENT_TOKENS = 1 << 19  # tokens of one side in a segment of links
+SEGMENT_TOKENS = 1 << 20  # tokens of one side in a segment of links
 GROUP_LINKS = 1 << 12  # groups of more links are counted by distinct ids
 
 # Fixed value: the pattern by which byte-level BPE vocabularies of this kind cut a text before merging.
@@ -219,13 +219,13 @@ def _of_one_fragment(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
 def align(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int = CHUNK_BYTES, part_chars: int = PART_CHARS, fan: int = FAN) -> DataFrame:
     """Per document: doc_id, a and b (token ids), na and nb (tokens of each side per group)."""
-    run = partial(_short, vocabularies)
-    whole = _of_one_fragment(docs, chunk_bytes).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {SIDES}")
-    return whole.unionByName(_long(docs, vocabularies, chunk_bytes, part_chars, fan))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, {SIDES}"
+    whole = _of_one_fragment(docs, chunk_bytes).mapInArrow(partial(_short, vocabularies), schema)
+    return whole.unionByName(_long(docs, vocabularies, chunk_bytes, part_chars, fan).mapInArrow(_finished, schema))
 
 
 def _long(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int, part_chars: int, fan: int) -> DataFrame:
-    """`align` for documents of more than one fragment."""
+    """Fragments of documents of more than one, composed and written: good, a, b, na, nb, doc_id."""
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text").where(F.octet_length("text") > chunk_bytes)
 
@@ -269,12 +269,6 @@ def _long(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int, part_chars
         columns = [table["key"].slice(0, 1), pa.array([key[1].as_py()], pa.int64()), table["start"].slice(0, 1), pa.array([whole.good])]
         return pa.table([*columns, *_columns([whole]), table["doc_id"].slice(0, 1)], names=["key", "node", "start", "good", "a", "b", "na", "nb", "doc_id"])
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [[x.values.to_numpy() for x in batch.column(c)] for c in ("a", "b", "na", "nb")]
-            found = [_closed(Fragment(*x, good)) for *x, good in zip(*sides, batch.column("good").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_columns(found)], names=["doc_id", "a", "b", "na", "nb"])
-
     parts = written(docs.mapInArrow(split, f"key bigint, doc_id {kind}, start bigint, unit string"), "alignment-parts")
     rows = parts.repartition("key", "start").mapInArrow(cut, f"key bigint, node bigint, start bigint, good boolean, {SIDES}, doc_id {kind}")
     rows = written(rows, "alignment-fragments")
@@ -283,7 +277,16 @@ def _long(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int, part_chars
         above = rows.withColumnRenamed("node", "below").withColumn("node", F.expr(f"below div {fan}"))
         rows = above.groupBy("key", "node").applyInArrow(composed, f"key bigint, node bigint, start bigint, good boolean, {SIDES}, doc_id {kind}")
         last = last // fan if last else -1
-    return rows.mapInArrow(close, f"doc_id {kind}, {SIDES}")
+    # what follows runs on its own, so that a task needs one Python worker at a time
+    return written(rows.select("good", "a", "b", "na", "nb", "doc_id"), "alignment-long")
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `align` returns, of documents composed by `_long`."""
+    for batch in batches:
+        sides = [[x.values.to_numpy() for x in batch.column(c)] for c in ("a", "b", "na", "nb")]
+        found = [_closed(Fragment(*x, good)) for *x, good in zip(*sides, batch.column("good").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_columns(found)], names=["doc_id", "a", "b", "na", "nb"])
 
 
 def pairs_of(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -313,6 +316,13 @@ def pairs_of(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, row:
     return key // (wide * wide), key // wide % wide, key % wide, n
 
 
+def _some(lists: np.ndarray, bounds: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Lists cut at the bounds, null where they are left out."""
+    sizes = np.diff(bounds)
+    offsets = np.concatenate([[0], np.cumsum(np.where(some, sizes, 0))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lists[np.repeat(some, sizes)]), mask=pa.array(~some))
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows, about SEGMENT_TOKENS tokens at a time."""
     for batch in batches:
@@ -353,14 +363,14 @@ class Spelling:
 
 
 def links(docs: DataFrame, vocabularies: Broadcast, chunk_bytes: int = CHUNK_BYTES, part_chars: int = PART_CHARS, fan: int = FAN) -> DataFrame:
-    """An index of linked ids, written: per segment and pair rows (a, b, rows, times); and, with a null, one row per
+    """An index of linked ids, written: per segment and pair rows (a, b, rows, times; times null: once each); and, with a null, one row per
     document (row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256). Documents of one fragment are aligned and
     indexed by the same task."""
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"segment bigint, a int, b int, rows {INTS}, times array<bigint>, row int, doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
     run = lambda batches: _indexed(0, _short(vocabularies, batches))
     whole = _of_one_fragment(docs, chunk_bytes).mapInArrow(run, schema)
-    rest = _long(docs, vocabularies, chunk_bytes, part_chars, fan).mapInArrow(partial(_indexed, 1), schema)
+    rest = _long(docs, vocabularies, chunk_bytes, part_chars, fan).mapInArrow(lambda batches: _indexed(1, _finished(batches)), schema)
     return written(whole.unionByName(rest), "alignment-links")
 
 
@@ -375,7 +385,7 @@ def _indexed(side: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         row = np.repeat(np.arange(batch.num_rows), sizes["na"])
         x, y, rows, times = pairs_of(a, b, na, nb, row)
         first = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
-        bounds = pa.array(np.append(first, len(x)), pa.int32())
+        bounds = np.append(first, len(x))
         n = len(first)
         ints, longs = pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -383,8 +393,8 @@ def _indexed(side: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 pa.array(np.full(n, base + k)),
                 pa.array(x[first].astype(np.int32)),
                 pa.array(y[first].astype(np.int32)),
-                pa.ListArray.from_arrays(bounds, pa.array(rows.astype(np.int32))),
-                pa.ListArray.from_arrays(bounds, pa.array(times)),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rows.astype(np.int32))),
+                _some(times, bounds, np.maximum.reduceat(times, first) > 1 if n else np.zeros(0, bool)),
                 ints,
                 pa.nulls(n, batch.column("doc_id").type),
                 *[longs] * 4,
@@ -424,8 +434,10 @@ def measured(index: DataFrame) -> DataFrame:
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rows, times = (table[c].combine_chunks().flatten().to_numpy() for c in ("rows", "times"))
+        rows = table["rows"].combine_chunks().flatten().to_numpy()
         n = pc.list_value_length(table["rows"]).to_numpy()
+        times = np.ones(len(rows), np.int64)
+        times[np.repeat(pc.is_valid(table["times"]).to_numpy(), n)] = table["times"].combine_chunks().flatten().to_numpy()
         count = np.repeat(table["count"].to_numpy(), n)
         best = np.repeat(table["count"].to_numpy() == table["best"].to_numpy(), n)
         own = np.unique(rows)
