@@ -6,7 +6,7 @@ import datetime as dt
 
 from tests.conftest import rec
 from tracewell.operators import records as O
-from tracewell.sources import files
+from tracewell.sources import files, ranges
 from tracewell.sources.transcripts import scan_transcripts
 
 
@@ -232,12 +232,20 @@ def test_listing_and_feeds(spark, tree):
     assert paths(scan_transcripts(spark, tree.root, session_id="s")) == set()
 
 
-def test_old_files_are_not_opened(spark, tree):
+def test_old_files_are_not_opened(spark, tree, monkeypatch):
     for i in range(5):
         tree.jsonl(f"p/{i}.jsonl", [rec("a")], 1000.0 + i)
-    # every small file is a task of its own, so tasks tell how many files are read
-    assert scan_transcripts(spark, tree.root).rdd.getNumPartitions() == 5
-    assert scan_transcripts(spark, tree.root, 1004_000, 0).rdd.getNumPartitions() == 1
+    newest = f"{tree.root}/p/4.jsonl"
+    opened = []
+    ranges_of = ranges.splits
+
+    def watched(chosen, start):
+        opened.extend(r.file_path for r in chosen.collect())
+        return ranges_of(chosen, start)
+
+    monkeypatch.setattr(ranges, "splits", watched)
+    assert scan_transcripts(spark, tree.root, 1004_000, 0).count() == 1
+    assert opened == [newest]
 
 
 def test_datetime_type(spark, tree):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -42,6 +44,18 @@ def build_session(app: str = "tracewell", master: str | None = None, **conf: str
     return configure(builder.getOrCreate())
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers of a local session import this package, wherever the driver was started from.
+
+    On a cluster the package is installed or sent with --py-files, as for any job.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+    return spark
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder for written intermediates, below the folder the cluster names.
 

@@ -1,19 +1,15 @@
-"""Reading trees of text files as lines, whole files or a listing.
-
-Filters on modification time and size are put on the file metadata, so files
-that fail them are left out when the scan is planned and never opened.
-"""
+"""Paths of source files, and where lines of Spark's text source come from."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracewell import schemas
+from tracewell.sources.listing import list_tree
 
 META = "_metadata"
 
@@ -46,15 +42,6 @@ def is_subagent(path: Column) -> Column:
     return F.contains(path, F.lit("/subagents/"))
 
 
-def at_or_after(mtime: Column, since_ms: int) -> Column:
-    return mtime >= F.timestamp_millis(F.lit(since_ms))
-
-
-def _reader(spark: SparkSession, pattern: str | None, recurse: bool) -> DataFrameReader:
-    reader = spark.read.option("recursiveFileLookup", str(recurse).lower())
-    return reader.option("pathGlobFilter", pattern) if pattern else reader
-
-
 def empty(spark: SparkSession, ddl: str) -> DataFrame:
     columns = StructType.fromDDL(ddl).fields
     return spark.range(0).select(*(F.lit(None).cast(c.dataType).alias(c.name) for c in columns))
@@ -84,69 +71,7 @@ def line_source() -> list[Column]:
     ]
 
 
-def read_lines(
-    spark: SparkSession,
-    root: str,
-    pattern: str | None = None,
-    recurse: bool = True,
-    keep: Column | None = None,
-    line_sep: str | None = None,
-) -> DataFrame:
-    """Lines of all files below ``root``; ``keep`` is a condition on ``_metadata``."""
-
-    def load() -> DataFrame:
-        reader = _reader(spark, pattern, recurse)
-        if line_sep:
-            reader = reader.option("lineSep", line_sep)
-        text = reader.text(root)
-        if keep is not None:
-            text = text.where(keep)
-        # line_id rises within a split; splits of one file are told apart by block_start
-        return text.select(*line_source(), F.monotonically_increasing_id().alias("line_id"), "value")
-
-    return or_empty(load, spark, schemas.LINES)
-
-
-def read_files(
-    spark: SparkSession, root: str, pattern: str, recurse: bool = True, keep: Column | None = None
-) -> DataFrame:
-    """One row per file with its whole text, for files that hold one JSON document or one note."""
-
-    def load() -> DataFrame:
-        text = _reader(spark, pattern, recurse).text(root, wholetext=True)
-        if keep is not None:
-            text = text.where(keep)
-        return text.select(
-            plain_path(_meta("file_path")).alias("file_path"),
-            F.unix_millis(_meta("file_modification_time")).alias("mtime_ms"),
-            _meta("file_size").alias("file_size"),
-            "value",
-        )
-
-    return or_empty(load, spark, schemas.FILES)
-
-
-def list_files(
-    spark: SparkSession, root: str, pattern: str, recurse: bool = True, since_ms: int | None = None
-) -> DataFrame:
-    """Path, modification time and size of files; their content is not read."""
-
-    def load() -> DataFrame:
-        files = _reader(spark, pattern, recurse).format("binaryFile").load(root)
-        if since_ms is not None:
-            files = files.where(at_or_after(F.col("modificationTime"), since_ms))
-        return files.select(
-            plain_path(F.col("path")).alias("file_path"),
-            F.unix_millis("modificationTime").alias("mtime_ms"),
-            F.col("length").alias("file_size"),
-        )
-
-    return or_empty(load, spark, "file_path string, mtime_ms bigint, file_size bigint")
-
-
-def list_newer(
-    spark: SparkSession, root: str, suffix: str, after_ms: int, recurse: bool = False
-) -> DataFrame:
+def list_newer(spark: SparkSession, root: str, suffix: str, after_ms: int, recurse: bool = False) -> DataFrame:
     """Files changed after the watermark, oldest first."""
-    files = list_files(spark, root, f"*{suffix}", recurse, after_ms)
-    return files.where(F.col("mtime_ms") > after_ms).orderBy("mtime_ms", "file_path")
+    found = list_tree(spark, [(root, recurse)]).drop("root")
+    return found.where(F.endswith("file_path", F.lit(suffix)) & (F.col("mtime_ms") > after_ms)).orderBy("mtime_ms", "file_path")
