@@ -273,7 +273,8 @@ def search(index: Index, items: DataFrame, k: int = K, item_bytes: int = ITEM_BY
 def _search_block(index: Index, block: list[tuple[object, Counter]], kind: T.DataType, k: int) -> DataFrame:
     rows, spark = index.rows, index.rows.sparkSession
     terms = spark.createDataFrame([(bytearray(t),) for t in {t for _, own in block for t in own}], "term binary")
-    postings = rows.where("term IS NOT NULL").join(terms, "term", "left_semi")
+    # the terms of at most `item_bytes` of text, so of bounded size
+    postings = rows.where("term IS NOT NULL").join(F.broadcast(terms), "term", "left_semi")
     counts = {bytes(r["term"]): r["df"] for r in postings.groupBy("term").agg(F.sum("n").alias("df")).collect()}
     weights = {t: weight(index.n, df) for t, df in counts.items()}
     told = spark.sparkContext.broadcast([{t: c * weights[t] for t, c in own.items() if t in weights} for _, own in block])
@@ -303,7 +304,9 @@ def _search_block(index: Index, block: list[tuple[object, Counter]], kind: T.Dat
             }
         )
 
-    heaps = postings.unionByName(rows.where("term IS NULL")).groupBy("shard").applyInArrow(run, "item bigint, doc_id bigint, score bigint")
+    # the work of a shard lies in its items, not its bytes, so partitions are not merged by bytes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    heaps = postings.unionByName(rows.where("term IS NULL")).repartition(tasks, "shard").groupBy("shard").applyInArrow(run, "item bigint, doc_id bigint, score bigint")
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
     top = heaps.withColumn("rank", place).where(F.col("rank") <= k)
     own = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(block)], T.StructType([T.StructField("item", T.LongType()), T.StructField("item_id", kind)]))
