@@ -8,11 +8,12 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from workload import tree_queries
 
 # the training-data queries come and go with their subpackage, which has tests of its own
 QUERIES = {n: q for n, q in entry.queries().items() if not n.startswith("op") and n != "pipeline"}
 ORACLE = {n: q for n, q in entry.oracle_sql().items() if n in QUERIES}
-WRITING = {"i32_sync_state", "i37_compacted_tool_calls", "i38_synced_sessions", "s01_daily_messages", "s02_weekly_write_read"}
+WRITING = {"i32_sync_state", "i37_compacted_tool_calls", "i38_synced_sessions", "s01_daily_messages", "s02_weekly_write_read", *tree_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import functions as F
 
@@ -40,36 +39,45 @@ def test_landing_zone(spark, tree, tmp_path):
     assert wh.state["landing"].files_synced == 2
 
 
-def test_weeks_begin_on_monday_and_late_rows_are_dropped(spark, tmp_path):
-    folder = str(tmp_path / "calls")
-    rows = [("2024-01-07 23:59:59", "Edit"), ("2024-01-08 00:00:00", "Read"), ("2024-01-09 00:00:00", "Edit")]
-
-    def put(data, name):
-        spark.createDataFrame(data, "t string, tool_name string").select(
-            F.col("t").cast("timestamp").alias("timestamp"), "tool_name"
-        ).coalesce(1).write.parquet(f"{folder}/{name}")
-
-    def drain():
-        stream = spark.readStream.schema("timestamp timestamp, tool_name string").parquet(f"{folder}/*")
-        query = (
-            rollups.weekly_write_read(stream)
-            .writeStream.outputMode("append")
-            .option("checkpointLocation", str(tmp_path / "ck"))
-            .foreachBatch(lambda b, i: b.write.mode("append").parquet(str(tmp_path / "weeks")))
-            .trigger(availableNow=True)
-            .start()
-        )
+def drained(spark, tmp_path, rollup, batches, ddl):
+    """The report after each batch; every batch is a new run of the same query."""
+    folder = str(tmp_path / "rows")
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, ddl).withColumn("timestamp", F.col("t").cast("timestamp"))
+        frame.drop("t").coalesce(1).write.parquet(f"{folder}/step={i}")
+        stream = spark.readStream.schema(frame.drop("t").schema).parquet(f"{folder}/step=*")
+        query = rollups.start_rollup(stream, str(tmp_path / "out"), str(tmp_path / "ck"), rollup)
         query.awaitTermination()
-        return {r.week: (r.writes, r.reads, r.write_read_ratio) for r in spark.read.parquet(str(tmp_path / "weeks")).collect()}
+        assert query.exception() is None
+        yield sorted((tuple(r) for r in rollups.report_of(spark, str(tmp_path / "out")).collect()), key=lambda r: r[0])
 
-    os.makedirs(folder)
-    put(rows, "a")
-    assert drain() == {dt.date(2024, 1, 1): (1, 0, None)}
-    put([("2024-01-01 00:00:00", "Edit"), ("2024-01-20 00:00:00", "Read")], "b")
-    assert drain() == {dt.date(2024, 1, 1): (1, 0, None), dt.date(2024, 1, 8): (1, 1, 1.0)}
 
+def test_weeks_begin_on_monday_and_late_rows_count(spark, tmp_path):
+    first = [("2024-01-07 23:59:59", "Edit"), ("2024-01-08 00:00:00", "Read"), ("2024-01-09 00:00:00", "Edit"), (None, "Edit")]
+    second = [("2024-01-01 00:00:00", "Edit"), ("2024-01-20 00:00:00", "Read")]
+    third = [("2024-01-01 00:00:00", "Read"), ("2024-01-20 00:00:00", "Grep")]
+    day = dt.date(2024, 1, 1)
+    steps = list(drained(spark, tmp_path, rollups.weekly_write_read(), [first, second, third], "t string, tool_name string"))
+    assert steps[0] == [(day, 1, 0, None, 0), (dt.date(2024, 1, 8), 1, 1, 1.0, 0)]
+    assert steps[1] == [(day, 2, 0, None, 1), (dt.date(2024, 1, 8), 1, 1, 1.0, 0), (dt.date(2024, 1, 15), 0, 1, 0.0, 0)]
+    assert steps[2] == [(day, 2, 1, 2.0, 2), (dt.date(2024, 1, 8), 1, 1, 1.0, 0), (dt.date(2024, 1, 15), 0, 1, 0.0, 0)]
 
-def test_daily_rollup_columns(spark):
-    df = spark.createDataFrame([("2024-01-01 10:00:00", 1, 2, "s")], "t string, input_tokens long, output_tokens long, session_id string")
-    got = rollups.daily_messages(df.withColumn("timestamp", F.col("t").cast("timestamp"))).first()
-    assert tuple(got) == (dt.date(2024, 1, 1), 1, 1, 2, 1)
+
+def test_distinct_sessions_are_exact_over_batches(spark, tmp_path):
+    batches = [[(f"2024-01-0{1 + i % 2} 10:00:00", 1, 2, f"s{i % n}") for i in range(3 * n)] for n in (50, 80, 7)]
+    *_, last = drained(spark, tmp_path, rollups.daily_messages(), batches, "t string, input_tokens long, output_tokens long, session_id string")
+    rows = [r for b in batches for r in b]
+    for day, messages, tok_in, tok_out, sessions, late in last:
+        own = [r for r in rows if r[0].startswith(day.isoformat())]
+        assert (messages, tok_in, tok_out, sessions, late) == (len(own), len(own), 2 * len(own), len({r[3] for r in own}), 0)
+
+
+def test_a_batch_that_runs_again_replaces_its_own(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 10:00:00", 1, 2, "s")], "t string, input_tokens long, output_tokens long, session_id string")
+    rows, out = rows.withColumn("timestamp", F.col("t").cast("timestamp")), str(tmp_path / "out")
+    for batch in (0, 1, 1, 0):
+        rollups.add_batch(rows, batch, out, rollups.daily_messages())
+    rollups.add_batch(rows.limit(0), 2, out, rollups.daily_messages())
+    assert [r.asDict()["messages"] for r in rollups.report_of(spark, out).collect()] == [1]
+    rollups.add_batch(rows, 1, out, rollups.daily_messages())
+    assert [tuple(r) for r in rollups.report_of(spark, out).collect()] == [(dt.date(2024, 1, 1), 2, 2, 4, 1, 0)]
