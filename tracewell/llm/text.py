@@ -101,8 +101,12 @@ def least_hashes(df: DataFrame, at: str, rows: int) -> DataFrame:
 
     Decided row by row from one count, so nothing is gathered, unlike an ordered limit, which sends that many rows per partition.
     """
-    share = min(1.0, rows / max(df.count(), 1))
-    return df.where(F.col(at) <= min(int(-(2**63) + share * 2**64), 2**63 - 1))
+    return df.where(F.col(at) <= hash_bound(df.count(), rows))
+
+
+def hash_bound(count: int, rows: int) -> int:
+    """The value that about `rows` of `count` evenly spread 64-bit hashes do not exceed."""
+    return min(int(-(2**63) + min(1.0, rows / max(count, 1)) * 2**64), 2**63 - 1)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
