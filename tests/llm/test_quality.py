@@ -40,16 +40,16 @@ def test_chi_squared():
 
 
 def brute(rows, rules=Q.Rules()):
-    """The same estimates with all rows of a group in one array: (lang, source) -> squared distances in row order."""
+    """The same estimates level by level, each alone, with all its rows in one array: (lang, source) -> fit, and distances."""
 
-    def distances(x, mean, whiten):
+    def distances(x, mean, covariance, whiten, log_det):
         return (((x - mean) @ np.array(whiten).reshape(Q.D, Q.D).T) ** 2).sum(1)
 
     def cov(x, factor):
         mean = x.mean(0)
         return Q.solve(mean, ((x - mean).T @ (x - mean) / len(x)) * factor)
 
-    def estimates(x):
+    def start(x):
         widths = np.array(list(Q.STATISTICS.values())) / 50
         binned = (np.floor(x / widths) + 0.5) * widths
 
@@ -59,34 +59,38 @@ def brute(rows, rules=Q.Rules()):
         m = middle(binned)
         return Q.solve(m, np.diag((1.4826 * middle(np.abs(binned - m))) ** 2))
 
-    groups, langs = {}, {}
+    def mcd(x):
+        now, was = start(x), None
+        while True:
+            d = np.floor(np.log2(np.maximum(distances(x, *now), 1e-6)) * 32)
+            now = cov(x[d <= np.sort(d)[math.ceil(rules.h * len(d)) - 1]], Q.consistency(rules.h))
+            if was is not None and was - now[3] <= rules.tolerance:
+                break
+            was = now[3]
+        inside = x[distances(x, *now) <= Q.chi_squared_quantile(rules.reweight, Q.D)]
+        return len(inside), cov(inside, Q.consistency(rules.reweight))
+
+    def together(n, own, m, above):
+        (a, s), (b, t) = ((np.array(f[0]), np.array(f[1]).reshape(Q.D, Q.D)) for f in (own, above))
+        mean = (n * a + m * b) / (n + m)
+        return Q.solve(mean, (n * (s + np.outer(a - mean, a - mean)) + m * (t + np.outer(b - mean, b - mean))) / (n + m))
+
+    levels = {}
     for r in rows:
         if not r["base_failed"]:
-            groups.setdefault((r["lang"], r["source"]), []).append(r["vector"])
-            langs.setdefault(r["lang"], []).append(r["vector"])
-    data = {k: np.array(v if len(v) >= rules.min_rows else langs[k[0]]) for k, v in groups.items()}
-    judged = {k: x for k, x in data.items() if len(x) >= rules.min_rows}
-    level = {k: k if len(groups[k]) >= rules.min_rows else k[0] for k in judged}
-    levels = {level[k]: x for k, x in judged.items()}
-    fits, last = {k: estimates(x) for k, x in levels.items()}, None
-    for _ in range(rules.steps):
-        for k, x in levels.items():
-            d = np.floor(np.log2(np.maximum(distances(x, *fits[k][:2]), 1e-6)) * 32)
-            order = np.sort(d)
-            limit = order[math.ceil(rules.h * len(d)) - 1]
-            fits[k] = cov(x[d <= limit], Q.consistency(rules.h))
-        total = sum(f[2] for f in fits.values())
-        if last is not None and abs(last - total) <= 1e-4 * max(1.0, abs(total)):
-            break
-        last = total
-    for k, x in levels.items():
-        fits[k] = cov(x[distances(x, *fits[k][:2]) <= Q.chi_squared_quantile(rules.reweight, Q.D)], Q.consistency(rules.reweight))
-    return {k: fits[level[k]] for k in judged}, distances
+            for key in ((), (r["lang"],), (r["lang"], r["source"])):
+                levels.setdefault(key, []).append(r["vector"])
+    fits, m = {}, rules.prior_rows
+    for key in sorted(levels, key=len):
+        n, own = mcd(np.array(levels[key]))
+        wide = (own[0], np.diag((Q.PRIOR_SPREAD * np.array(list(Q.STATISTICS.values()))) ** 2).ravel(), None, None)
+        fits[key] = together(n, own, m, fits[key[:-1]] if key else wide)
+    return {k: f for k, f in fits.items() if len(k) == 2}, distances
 
 
 def test_query_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rules = Q.Rules(min_rows=8)
+    rules = Q.Rules(prior_rows=8)
     measured = Q.with_statistics(docs, [*Q.COUNTS, "vector"]).withColumn("base_failed", Q.base_failed("n_words", "n_repeat_words"))
     rows = measured.collect()
     fits, distances = brute(rows, rules)
@@ -97,7 +101,7 @@ def test_query_equals_brute_force(spark, sf):
         out = got[r["doc_id"]]
         assert [out[c] for c in Q.COUNTS] == counts(r["text"]) and out["base_failed"] == r["base_failed"]
         fit = fits.get((r["lang"], r["source"]))
-        d = float(distances(np.array([r["vector"]]), *fit[:2])[0]) if fit else None
+        d = float(distances(np.array([r["vector"]]), *fit)[0]) if fit else None
         assert out["distance"] == (pytest.approx(d, rel=1e-6, abs=1e-9) if fit else None)
         assert out["kept"] == (not r["base_failed"] and (d is None or d <= limit))
     assert Q.op10_quality_outliers(spark, sf).count() == len(rows)
@@ -120,10 +124,32 @@ def test_edges(spark):
     assert Q.quality(docs.limit(0)).count() == 0 and Q.keep_quality(docs.limit(0)).count() == 0
 
 
-def test_small_languages_are_judged_by_all_rows(spark):
-    rules = Q.Rules(min_rows=20)
-    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60 + i)), "en", "a") for i in range(30)]
-    rows += [(100, " ".join(f"v{k}" for k in range(70)), None, "b"), (101, " ".join(f"#v{k}|{{}}" for k in range(70)), "xx", "b")]
+def plain(name, n=60, extra=""):
+    return " ".join(f"{extra}{name}x{k}" for k in range(n))
+
+
+def test_small_groups_lean_on_the_levels_above(spark):
+    rows = [(i, plain(f"w{i}", 60 + i), "en", "a") for i in range(30)]
+    rows += [(100, plain("v", 70), None, "b"), (101, " ".join(f"#v{k}|{{}}" for k in range(70)), "xx", "b"), (102, plain("u", 80), "yy", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    got = {r["doc_id"]: r for r in Q.quality(docs, rules).collect()}
-    assert got[100]["distance"] is not None and got[100]["kept"] and not got[101]["kept"]
+    got = {r["doc_id"]: r for r in Q.quality(docs).collect()}
+    assert all(got[i]["distance"] is not None for i in got) and got[100]["kept"] and got[102]["kept"] and not got[101]["kept"]
+    # a table of a few rows is judged by the same method: clean rows stay
+    few = {r["doc_id"]: r["kept"] for r in Q.quality(docs.where("doc_id < 4")).collect()}
+    assert all(few.values()) and len(few) == 4
+
+
+def test_foreign_groups_change_no_verdict(spark):
+    """Levels settle on their own: a thousand groups of another language leave distances within a language alike but for the weight of all rows."""
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdk" for b in "aeiou" for c in "lmnrst"]
+
+    def text(n, marks=0.0):
+        return " ".join(rng.choice(words) + ("!" if rng.random() < marks else "") for _ in range(n))
+
+    own = [(i, text(rng.randrange(60, 200), 0.02) if i % 20 else " ".join(f"@{w}={w}" for w in words), "en", f"s{i % 3}") for i in range(300)]
+    foreign = [(1000 + i, text(60 + i % 50, 0.1), "zz", f"g{i}") for i in range(1000)]
+    schema = "doc_id bigint, text string, lang string, source string"
+    alone = {r["doc_id"]: r["kept"] for r in Q.quality(spark.createDataFrame(own, schema)).collect()}
+    beside = {r["doc_id"]: r["kept"] for r in Q.quality(spark.createDataFrame(own + foreign, schema)).collect()}
+    assert {i: beside[i] for i in alone} == alone and not all(alone.values()) and sum(alone.values()) > 250

@@ -1,14 +1,17 @@
 """Quality rules: fixed limits, then robust multivariate outliers per language and source.
 
 Every document gets counts over its whole text and a vector of transformed
-statistics. Per (lang, source), location and scatter of the vectors are
+statistics. Per level - all rows, each lang, each (lang, source) - location and scatter of the vectors are
 minimum-covariance-determinant (MCD) estimates: starting from the median and
 the spread around it, the share H of rows nearest by Mahalanobis distance gives
-the next mean and covariance, until the determinant no longer falls; rows inside
-the 97.5 % ellipsoid then give the final ones. Each step is one aggregation over all rows: sums per
-(group, distance bin), so that no group meets in one task, however large. A group of
-under MIN_ROWS rows uses its language, a language of under MIN_ROWS rows the estimates over all rows. Only a table
-of under MIN_ROWS rows is not judged.
+the next mean and covariance, as long as the level's own determinant falls by more than a fixed tolerance, however
+many steps that takes and whatever other levels do; rows inside
+the 97.5 % ellipsoid then give the final ones. Each step is one aggregation over the rows of unsettled levels: sums per
+(level, distance bin), so that no level meets in one task, however large.
+
+A (lang, source) is judged by its own estimates mixed with those of its lang, as if these stood for PRIOR_ROWS further
+rows; a lang's are mixed with those of all rows, and those with a wide prior. So a group's size
+only weighs, and no number of rows changes the method.
 
 Null text counts as empty and fails the base rule. Null lang or source is a value of its own.
 Repeated rows count and are judged each. An empty table gives an empty result. Extra columns stay.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,7 @@ STATISTICS = {
     "dup_lines": 0.10,  # square root of the share of repeated lines
 }
 D = len(STATISTICS)
+PRIOR_SPREAD = 4.0  # deviations of the prior for all rows, in floors
 
 
 @dataclass(frozen=True)
@@ -53,8 +58,8 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     h: float = 0.75  # share of rows that the estimates are fitted on
-    min_rows: int = 50  # of a group with estimates of its own
-    steps: int = 8  # concentration steps at most
+    prior_rows: int = 300  # what the level above weighs: one row far from all others is an outlier, some alike are a group
+    tolerance: float = 0.01  # of the log determinant; a level that falls by less has settled
     reweight: float = 0.975
     quantile: float = 1 - 1e-12  # of the chi-squared distribution; rows beyond are rejected, clean ones practically never
 
@@ -144,40 +149,52 @@ def consistency(share: float) -> float:
 FIT = T.StructType(
     [
         T.StructField("level", T.StringType()),
+        T.StructField("n", T.LongType()),
         T.StructField("mean", T.ArrayType(T.DoubleType())),
+        T.StructField("covariance", T.ArrayType(T.DoubleType())),
         T.StructField("whiten", T.ArrayType(T.DoubleType())),  # rows of a lower triangle W: distance² = |W (x - mean)|²
         T.StructField("log_det", T.DoubleType()),
     ]
 )
+_FIT_TYPES = (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64())
 EVERYTHING = "[]"  # the level of all rows
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
-def solve(mean: np.ndarray, covariance: np.ndarray) -> tuple[list[float], list[float], float]:
-    """Floors on the deviations, then the whitening triangle and the log determinant."""
-    covariance = covariance + np.diag(np.square(list(STATISTICS.values())))
-    root = np.linalg.cholesky(covariance)
-    return mean.tolist(), np.linalg.inv(root).ravel().tolist(), float(2 * np.log(np.diag(root)).sum())
+def solve(mean: np.ndarray, covariance: np.ndarray) -> tuple[list[float], list[float], list[float], float]:
+    """Mean and covariance as they are; with floors on the deviations, the whitening triangle and the log determinant."""
+    root = np.linalg.cholesky(covariance + np.diag(np.square(list(STATISTICS.values()))))
+    return mean.tolist(), covariance.ravel().tolist(), np.linalg.inv(root).ravel().tolist(), float(2 * np.log(np.diag(root)).sum())
 
 
-def solved(sums: DataFrame, factor: float) -> DataFrame:
-    """One row of FIT per row of sums (level, n, s, q): a small matrix each, apart from all others."""
+def mixed(n: int, mean: np.ndarray, covariance: np.ndarray, m: int, above_mean: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of n rows together with m rows of the level above."""
+    share, apart = n / (n + m), mean - above_mean
+    return above_mean + share * apart, share * covariance + (1 - share) * above + share * (1 - share) * np.outer(apart, apart)
+
+
+def _fits(rows: DataFrame, make) -> DataFrame:
+    """A row of FIT for each row: small matrices, each apart from all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                mean = np.array(r["s"]) / r["n"]
-                square = np.zeros((D, D))
-                for (i, j), q in zip(PAIRS, r["q"]):
-                    square[i, j] = square[j, i] = q / r["n"]
-                out.append((r["level"], *solve(mean, (square - np.outer(mean, mean)) * factor)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()))],
-                names=FIT.names,
-            )
+            out = [make(r) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(_FIT_TYPES)], names=FIT.names)
+
+    return rows.mapInArrow(run, FIT)
+
 
-    return sums.mapInArrow(run, FIT)
+def solved(sums: DataFrame, factor: float) -> DataFrame:
+    """Estimates from sums (level, n, s, q)."""
+
+    def make(r: dict) -> tuple:
+        mean = np.array(r["s"]) / r["n"]
+        square = np.zeros((D, D))
+        for (i, j), q in zip(PAIRS, r["q"]):
+            square[i, j] = square[j, i] = q / r["n"]
+        return r["level"], r["n"], *solve(mean, (square - np.outer(mean, mean)) * factor)
+
+    return _fits(sums, make)
 
 
 def distance(vector: str = "vector", mean: str = "mean", whiten: str = "whiten") -> Column:
@@ -234,18 +251,11 @@ def starts(vectors: DataFrame) -> DataFrame:
     spread = median(away, "away", "spread").join(middle, ["level", "k"])
     one = spread.groupBy("level").agg(F.sort_array(F.collect_list(F.struct("k", "middle", "spread"))).alias("x"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                mean, deviation = (np.array([x[name] for x in r["x"]]) for name in ("middle", "spread"))
-                out.append((r["level"], *solve(mean, np.diag(np.square(1.4826 * deviation)))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()))],
-                names=FIT.names,
-            )
+    def make(r: dict) -> tuple:
+        mean, deviation = (np.array([x[name] for x in r["x"]]) for name in ("middle", "spread"))
+        return r["level"], 0, *solve(mean, np.diag(np.square(1.4826 * deviation)))
 
-    return one.mapInArrow(run, FIT)
+    return _fits(one, make)
 
 
 def level_name(*columns: str) -> Column:
@@ -253,58 +263,66 @@ def level_name(*columns: str) -> Column:
     return F.to_json(F.array(*columns), {"ignoreNullFields": "false"})
 
 
-def fit(measured: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
-    """Which level judges each (lang, source), and the MCD estimates of each level.
-
-    `measured` has lang, source, vector and base_failed. Both results are small tables with a row per group.
-    """
-    good = measured.where(~F.col("base_failed"))
-    n = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = Window.partitionBy("lang")
-    total = n.agg(F.sum("n")).first()[0] or 0
-    levels = written(
-        n.withColumn("n_lang", F.sum("n").over(by_lang)).select(
-            "lang",
-            "source",
-            F.when(F.col("n") >= rules.min_rows, level_name("lang", "source"))
-            .when(F.col("n_lang") >= rules.min_rows, level_name("lang"))
-            .when(F.lit(total >= rules.min_rows), F.lit(EVERYTHING))
-            .alias("level"),
-            (F.col("n") < rules.min_rows).alias("shared"),
-        ),
-        "quality-levels",
-    )
-    # a language's estimates, where a small group needs them, come from all its rows
-    small = F.col("level") == EVERYTHING
-    needed = levels.where(F.col("shared") & ~small).select(F.col("lang").alias("needed_lang"), F.col("level").alias("needed")).distinct()
-    narrow = good.select("lang", "source", "vector")
-    own = narrow.join(levels.where("NOT shared"), narrow["lang"].eqNullSafe(levels["lang"]) & narrow["source"].eqNullSafe(levels["source"])).select("level", "vector")
-    whole = narrow.join(needed, F.col("lang").eqNullSafe(F.col("needed_lang"))).select(F.col("needed").alias("level"), "vector")
-    vectors = own.unionByName(whole)
-    if not levels.where(small).isEmpty():
-        vectors = vectors.unionByName(narrow.select(F.lit(EVERYTHING).alias("level"), "vector"))
-    vectors = written(vectors, "quality-vectors")
+def concentrated(vectors: DataFrame, rules: Rules) -> DataFrame:
+    """MCD estimates per level of `vectors` (level, vector), before they are mixed."""
 
     def binned(fits: DataFrame) -> DataFrame:
         d = vectors.join(fits, "level").withColumn("bin", F.floor(F.log2(F.greatest(distance(), F.lit(1e-6))) * 32))
         return d.groupBy("level", "bin").agg(*moments())
 
-    fits = written(starts(vectors), "quality-fit")
-    last: float | None = None
-    for _ in range(rules.steps):
-        fits = written(solved(summed(nearest(binned(fits), rules.h)), consistency(rules.h)), "quality-fit")
-        total = fits.agg(F.sum("log_det")).first()[0]
-        if total is None or last is not None and abs(last - total) <= 1e-4 * max(1.0, abs(total)):
+    open_ = written(starts(vectors), "quality-fit")
+    settled, first = [], True
+    while True:
+        # a settled level takes no further part; every other one has just lost a fixed share of a determinant that floors bound
+        # from below, so this ends
+        new = written(solved(summed(nearest(binned(open_), rules.h)), consistency(rules.h)), "quality-fit")
+        before = open_.select("level", F.lit(None).cast("double").alias("was") if first else F.col("log_det").alias("was"))
+        pairs, first = new.join(before, "level"), False
+        falls = F.col("was").isNull() | (F.col("was") - F.col("log_det") > rules.tolerance)
+        settled.append(pairs.where(~falls).drop("was"))
+        open_ = pairs.where(falls).drop("was")
+        if open_.isEmpty():
             break
-        last = total
+    fits = written(reduce(DataFrame.unionByName, settled), "quality-fit")
     inside = vectors.join(fits, "level").where(distance() <= chi_squared_quantile(rules.reweight, D))
-    return levels, written(solved(inside.groupBy("level").agg(*moments()), consistency(rules.reweight)), "quality-fit")
+    return written(solved(inside.groupBy("level").agg(*moments()), consistency(rules.reweight)), "quality-fit")
+
+
+def fit(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Per (lang, source) with rows that pass the base rules: lang, source, mean, whiten of the estimates that judge it.
+
+    `measured` has lang, source, vector and base_failed. The result is a small table with a row per group.
+    """
+    good = measured.where(~F.col("base_failed"))
+    pair, lang = level_name("lang", "source"), level_name("lang")
+    vectors = written(good.select(F.explode(F.array(F.lit(EVERYTHING), lang, pair)).alias("level"), "vector"), "quality-vectors")
+    fits = concentrated(vectors, rules)
+    wide = np.diag(np.square(PRIOR_SPREAD * np.array(list(STATISTICS.values()))))
+
+    def with_prior(r: dict) -> tuple:
+        mean = np.array(r["mean"])
+        return r["level"], r["n"], *solve(*mixed(r["n"], mean, np.array(r["covariance"]).reshape(D, D), rules.prior_rows, mean, wide))
+
+    def with_above(r: dict) -> tuple:
+        own, above = ((np.array(r[p + "mean"]), np.array(r[p + "covariance"]).reshape(D, D)) for p in ("", "above_"))
+        return r["level"], r["n"], *solve(*mixed(r["n"], *own, rules.prior_rows, *above))
+
+    def below(levels: DataFrame, above: DataFrame) -> DataFrame:
+        """Estimates of `levels` (level, above: the level over it), mixed with those above."""
+        over = above.select(F.col("level").alias("above"), F.col("mean").alias("above_mean"), F.col("covariance").alias("above_covariance"))
+        return _fits(fits.join(levels, "level").join(over, "above"), with_above)
+
+    groups = written(good.select("lang", "source").distinct(), "quality-groups")
+    top = written(_fits(fits.where(F.col("level") == EVERYTHING), with_prior), "quality-fit")
+    langs = written(below(groups.select(lang.alias("level"), F.lit(EVERYTHING).alias("above")).distinct(), top), "quality-fit")
+    pairs = below(groups.select(pair.alias("level"), lang.alias("above")), langs)
+    return written(pairs.join(groups.select("lang", "source", pair.alias("level")), "level").select("lang", "source", "mean", "whiten"), "quality-fit")
 
 
-def judged(measured: DataFrame, levels: DataFrame, fits: DataFrame, names: dict[str, str], rules: Rules = Rules()) -> DataFrame:
-    """`measured` (with lang and source) plus `names`: squared distance (null where no level judges) and verdict."""
+def judged(measured: DataFrame, fits: DataFrame, names: dict[str, str], rules: Rules = Rules()) -> DataFrame:
+    """`measured` (with lang and source) plus `names`: squared distance (null where no row of the group passes the base rules) and verdict."""
     own = fresh(measured, "level_lang", "level_source", "mean", "whiten")
-    model = levels.join(fits, "level").select(*(F.col(c).alias(name) for c, name in zip(("lang", "source", "mean", "whiten"), own)))
+    model = fits.select(*(F.col(c).alias(name) for c, name in zip(("lang", "source", "mean", "whiten"), own)))
     limit = chi_squared_quantile(rules.quantile, D)
     joined = measured.join(model, measured["lang"].eqNullSafe(model[own[0]]) & measured["source"].eqNullSafe(model[own[1]]), "left")
     return (
@@ -322,18 +340,17 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per document: doc_id, lang, source, COUNTS, base_failed, distance, kept."""
     counts = with_statistics(docs.select("doc_id", "lang", "source", "text"), [*COUNTS, "vector"]).drop("text")
     measured = written(counts.withColumn("base_failed", base_failed("n_words", "n_repeat_words", rules)), "quality-measured")
-    levels, fits = fit(measured, rules)
-    return judged(measured, levels, fits, {x: x for x in ("vector", "distance", "kept", "base_failed")}, rules).drop("vector")
+    return judged(measured, fit(measured, rules), {x: x for x in ("vector", "distance", "kept", "base_failed")}, rules).drop("vector")
 
 
 def keep_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of `docs` that pass, with their columns. The text is measured again instead of shuffled."""
     narrow = with_statistics(docs.select("lang", "source", "text"), [*COUNTS, "vector"]).drop("text")
-    levels, fits = fit(written(narrow.withColumn("base_failed", base_failed("n_words", "n_repeat_words", rules)), "quality-measured"), rules)
+    fits = fit(written(narrow.withColumn("base_failed", base_failed("n_words", "n_repeat_words", rules)), "quality-measured"), rules)
     names = dict(zip([*COUNTS, "vector", "distance", "kept", "base_failed"], fresh(docs, *(f"quality_{x}" for x in (*COUNTS, "vector", "distance", "kept", "base_failed")))))
     measured = with_statistics(docs, [names[x] for x in (*COUNTS, "vector")])
     measured = measured.withColumn(names["base_failed"], base_failed(names["n_words"], names["n_repeat_words"], rules))
-    return judged(measured, levels, fits, names, rules).where(F.col(names["kept"])).select(*docs.columns)
+    return judged(measured, fits, names, rules).where(F.col(names["kept"])).select(*docs.columns)
 
 
 def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
