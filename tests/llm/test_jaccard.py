@@ -104,6 +104,15 @@ def test_query(spark, sf):
     check(J.op8_near_duplicates(spark, sf).collect(), texts)
 
 
+def test_repeated_rows_that_differ_elsewhere(spark):
+    rows = [(1, "same text", 0.5 * i, [i], {"a": i}) for i in range(6)]
+    kept = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id bigint, text string, x double, y array<int>, z map<string,int>")
+        kept.add(tuple(r["x"] for r in J.drop_near_duplicates(docs.repartition(3)).collect()))
+    assert len(kept) == 1 and len(kept.pop()) == 1
+
+
 def test_edges(spark):
     rows = [(1, "same text here", "x"), (1, "same text here", "y"), (None, "same text here", None), (None, None, "z"), (7, "word " * 100_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, jaccard_key string")

@@ -284,7 +284,9 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
     key, nth = fresh(docs, "jaccard_key", "jaccard_nth")
     keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     kept = keyed.join(best, keyed["doc_id"].eqNullSafe(best["best_id"]) & keyed[key].eqNullSafe(best["best_key"]), "left_semi")
-    once = Window.partitionBy("doc_id", key).orderBy(*(c for c, kind in docs.dtypes if kind in ("string", "bigint", "int") and c != "text"))
+    # rows that share id and text are told apart by all their columns; what still ties is alike
+    others = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text"]
+    once = Window.partitionBy("doc_id", key).orderBy(F.xxhash64(*others))
     return kept.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
 
 
