@@ -31,7 +31,7 @@ from tracewell.llm.text import LOWER_WORDS, fresh, slices, split_words, word_arr
 
 WINDOW = 13
 SEGMENT_BYTES = 8 << 20
-BLOCK_WORDS = 2_000_000  # words of test items that are searched at a time
+BLOCK_WORDS = 100_000  # words of test items that are searched at a time: their windows are broadcast
 
 Window = tuple[bytes, ...]
 
@@ -184,25 +184,26 @@ def search(index: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame
                 owners[w] += [item_id] if item_id is not None else []
         terms = list({t for w in owners for t in w})
         counts = counts_of(index, terms)
-        found = by_segment(index, terms, "row int, ranges array<struct<a:bigint,b:bigint>>, items array<string>", _phrase_search(owners, counts))
+        found = by_segment(index, terms, "row int, ranges array<struct<a:bigint,b:bigint>>, items array<string>", _phrase_search(index.sparkSession, owners, counts))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return index.sparkSession.createDataFrame([], "segment bigint, row int, ranges array<struct<a:bigint,b:bigint>>, items array<string>")
     return hits
 
 
-def _phrase_search(owners: dict[Window, list[str]], counts: dict[bytes, int]):
+def _phrase_search(spark: SparkSession, owners: dict[Window, list[str]], counts: dict[bytes, int]):
     """Searches a segment for all windows whose terms all occur in the corpus, looked up by their rarest term."""
     by_rarest: dict[bytes, list[tuple[Window, list[int], list[str]]]] = defaultdict(list)
     for w, ids in owners.items():
         if all(t in counts for t in w):
             order = sorted(range(len(w)), key=lambda k: (counts[w[k]], w[k], k))
             by_rarest[w[order[0]]].append((w, order, ids))
+    told = spark.sparkContext.broadcast(dict(by_rarest))
 
     def run(lists: dict[bytes, np.ndarray], begins: np.ndarray) -> dict[str, pa.Array]:
         ranges, items = defaultdict(set), defaultdict(set)
-        for term in lists.keys() & by_rarest.keys():
-            for w, order, ids in by_rarest[term]:
+        for term in lists.keys() & told.value.keys():
+            for w, order, ids in told.value[term]:
                 at = phrase_positions(w, order, lists)
                 if not len(at):
                     continue
