@@ -87,3 +87,9 @@ def test_edges(spark):
     few = {r["page_id"]: r["record_type"] for r in warc.read_packages(warc.write_packages(pages, min_bytes=4)).collect()}
     assert few[2] == few[7] == "response" and few[1] == "revisit"
     assert warc.read_packages(warc.write_packages(pages.limit(0))).count() == 0
+
+
+def test_folders_that_cannot_be_opened_fail_early(spark):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id bigint, url string, html string")
+    with pytest.raises(ValueError, match="opened under"):
+        warc.write_packages(pages, "wasb://container/folder")

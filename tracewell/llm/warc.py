@@ -29,12 +29,12 @@ from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.text import slices, written
 from tracewell.session import scratch_dir
+from tracewell.sources import storage
 
 ARCHIVE = "archive/data.warc.gz"
 INDEX = "indexes/index.cdxj"
@@ -204,6 +204,7 @@ def sha1_base32(payload: Column) -> Column:
 def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Write all pages (page_id, url, html); the manifest: path, size, n_records."""
     folder = folder or scratch_dir(pages.sparkSession, "packages")
+    storage.opened(folder)  # a scheme that tasks cannot open fails here, before any job
     payload = F.coalesce("html", F.lit(""))
     narrow = pages.select("page_id", "url", "html", sha1_base32(payload).alias("sha1"))
     long_enough = F.octet_length(payload) >= min_bytes
@@ -212,7 +213,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, min_bytes: int =
     typed = narrow.join(owners, "sha1", "left").withColumn("response", F.when(long_enough & ~same, F.col("owner")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        disk, base = fs.FileSystem.from_uri(folder)
+        disk, base, _ = storage.opened(folder)
         disk.create_dir(base, recursive=True)
 
         def flush(package: Package) -> pa.RecordBatch:
@@ -242,7 +243,7 @@ def read_packages(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, size, folder in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "folder"))):
                 rows = []
-                with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as file:
+                with storage.opened(folder)[0].open_input_file(path) as file:
                     for record in read_package(file, size):
                         warc, http, payload = parse_record(record)
                         kind, named = warc["warc-type"], warc["warc-payload-digest"].removeprefix("sha1:")
