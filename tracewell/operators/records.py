@@ -250,18 +250,14 @@ def summarize_files(records: DataFrame, on_error: str = "file") -> DataFrame:
     )
 
 
-def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row per key, picked on the map side first.
-
-    The key is one struct, so a frame already spread by one of its fields is
-    spread again by the whole key: a crowded file does not stay in one task.
+def last_per_key(df: DataFrame, keys: list[str], at: list[str], order: str = "pos") -> DataFrame:
+    """The last row per key. Which one that is, narrow columns tell: a hash aggregation over keys and places, map side first.
+    Wide rows then move once, to their own place; `at` and the order are what tells rows of different keys apart.
     """
-    rest = [c for c in df.columns if c not in keys and c != order]
-    return (
-        df.groupBy(F.struct(*keys).alias("k"))
-        .agg(F.max_by(F.struct(*rest), order).alias("v"))
-        .select("k.*", "v.*")
-    )
+    place = (F.col(f"{order}.block_start").cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col(f"{order}.line_id")).cast("decimal(38,0)")
+    placed = df.withColumn("place", place)
+    last = placed.groupBy(*keys).agg(F.max("place").alias("place")).select(*at, "place")
+    return placed.join(last, [*at, "place"], "left_semi").drop("place", order)
 
 
 def _owned(records: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -285,7 +281,7 @@ def messages_of(records: DataFrame, sessions: DataFrame) -> DataFrame:
         *USAGE, "content_types", "tool_name", "tool_input_summary", "text_content",
         "file_path", "mtime_ms", "owner_session_id", "pos",
     )
-    return last_per_key(rows, ["file_path", "session_id", "uuid"], "pos")
+    return last_per_key(rows, ["file_path", "session_id", "uuid"], ["file_path"])
 
 
 def tool_calls_of(records: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -298,4 +294,4 @@ def tool_calls_of(records: DataFrame, sessions: DataFrame) -> DataFrame:
         "session_id", "message_uuid", F.col("t.name").alias("tool_name"), F.col("t.input").alias("tool_input"),
         "timestamp", F.col("t.idx").cast("int").alias("idx"), "file_path", "mtime_ms", "owner_session_id", "pos",
     )
-    return last_per_key(rows, ["file_path", "session_id", "message_uuid", "idx"], "pos")
+    return last_per_key(rows, ["file_path", "session_id", "message_uuid", "idx"], ["file_path", "idx"])

@@ -8,6 +8,7 @@ its sort with a key so that ties have one answer.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -171,7 +172,8 @@ def search_messages(
     """Newest messages whose text contains the query.
 
     The top-k comes before the join: sessions are unique by key, so the join
-    adds no rows, and only the hits meet it.
+    adds no rows, and only the hits meet it. With a limit the hits are at most that many rows and are
+    found at once, so that the scan of the sessions is filtered by their keys.
     """
     hits = _limit(
         m.where(S.matches(F.col("text_content"), query, literal)).select(
@@ -182,8 +184,13 @@ def search_messages(
         _asc("session_id"),
         _asc("uuid"),
     )
+    names = s.select("session_id", "project_name")
+    if limit is not None:
+        found = hits.toArrow()
+        hits = hits.sparkSession.createDataFrame(found, hits.schema)
+        names = names.where(F.col("session_id").isin(sorted(set(found["session_id"].drop_null().to_pylist()))))
     return (
-        hits.join(s.select("session_id", "project_name"), "session_id", "left")
+        hits.join(names, "session_id", "left")
         .orderBy(_desc("timestamp"), _asc("session_id"), _asc("uuid"))
         .select(
             "session_id", "project_name", "type", F.date_format("timestamp", "MM-dd HH:mm").alias("ts"), "content"
@@ -234,10 +241,20 @@ def last_sync(state: DataFrame) -> DataFrame:
 
 
 def sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Spark SQL over views named like the tables. Only a query is taken: inside a subquery, commands are syntax errors."""
-    for name, df in (tables or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)")
+    """Spark SQL over the tables by their names. Only a query is taken: inside a subquery, commands are syntax errors.
+
+    Names are bound by common table expressions over views of unique names that go again, so the caller's own views
+    are neither replaced nor hidden for good.
+    """
+    views = {name: f"tracewell_{name}_{uuid.uuid4().hex}" for name in tables or {}}
+    for name, view in views.items():
+        tables[name].createTempView(view)
+    try:
+        named = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql((f"WITH {named} " if named else "") + f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)")
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 # --- periods and trends ----------------------------------------------------------------------

@@ -46,10 +46,10 @@ def event_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def event_sessions(spark: SparkSession, sf: str, prompts: bool = False) -> DataFrame:
-    """One session per group of events; first prompts come from all documents in turn."""
+def event_sessions(spark: SparkSession, sf: str, prompts: bool = False, events: DataFrame | None = None) -> DataFrame:
+    """One session per group of events (all, or some of them); first prompts come from all documents in turn."""
     sessions = (
-        event_messages(spark, sf)
+        (event_messages(spark, sf) if events is None else events)
         .groupBy("session_id", "project_name")
         .agg(
             F.min("timestamp").alias("created_at"),

@@ -38,6 +38,13 @@ def _parsed(spark: SparkSession, sf: str, **kw) -> DataFrame:
     return records.parse_records(src.transcript_lines(spark, sf, **kw))
 
 
+def _staged(spark: SparkSession, sf: str, **kw) -> DataFrame:
+    """Parsed once and written as columns, as `sync` does: later steps read the columns they need."""
+    path = scratch_dir(spark, "records")
+    _parsed(spark, sf, **kw).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def split_by_feed(spark, sf):
     main, sub = split_feeds(src.transcript_lines(spark, sf))
     both = main.withColumn("feed", F.lit("sessions")).unionByName(sub.withColumn("feed", F.lit("subagents")))
@@ -96,7 +103,7 @@ def session_rollup(spark, sf):
 
 
 def messages(spark, sf):
-    parsed = _parsed(spark, sf)
+    parsed = _staged(spark, sf)
     rows = records.messages_of(parsed, records.summarize_files(parsed))
     return flat(
         rows.select(
@@ -107,7 +114,7 @@ def messages(spark, sf):
 
 
 def tool_calls(spark, sf):
-    parsed = _parsed(spark, sf)
+    parsed = _staged(spark, sf)
     rows = records.tool_calls_of(parsed, records.summarize_files(parsed))
     return flat(rows.select("file_path", "session_id", "message_uuid", "tool_name", "tool_input", "timestamp", "idx"))
 
@@ -116,7 +123,7 @@ def _logs(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Session and message logs after two syncs: of the files as they were, and as they are."""
     sessions, msgs = [], []
     for batch, turn in ((1, EARLIER_TURN), (2, None)):
-        parsed = _parsed(spark, sf, up_to_turn=turn)
+        parsed = _staged(spark, sf, up_to_turn=turn)
         loaded = records.summarize_files(parsed)
         for rows, log in ((loaded, sessions), (records.messages_of(parsed, loaded), msgs)):
             log.append(
@@ -211,7 +218,14 @@ def todos(spark, sf):
 
 
 def debug_logs(spark, sf):
-    return flat(sidefeeds.debug_log_stats(src.debug_lines(spark, sf), src.debug_files(spark, sf)).drop("mtime_ms"))
+    """Over two batches: the first lines alone, then whole logs under another first line; every ninth log stays empty."""
+    log = None
+    for batch, grown in ((1, False), (2, True)):
+        stats = sidefeeds.debug_log_stats(src.debug_lines(spark, sf, grown), src.debug_files(spark, sf, grown))
+        stats = stats.withColumn("source_path", F.col("file_path")).withColumn("seq_batch", F.lit(batch).cast("bigint"))
+        log = stats if log is None else log.unionByName(stats)
+    kept, replaced = ["session_id", "timestamp", "first_line"], ["line_count", "size_bytes"]
+    return flat(merge.fold(log, "file_path", kept, replaced).select("file_path", *kept, *replaced))
 
 
 def history(spark, sf):

@@ -236,10 +236,12 @@ def todo_files(spark: SparkSession, sf: str, emptied: bool = False) -> DataFrame
     )
 
 
-def debug_lines(spark: SparkSession, sf: str) -> DataFrame:
-    doc = F.col("doc_id")
-    stamp = F.when((doc % 2 == 0) & (F.col("line_id") == 0), "2024-01-02T03:04:05.5Z  ").otherwise("")
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_id", "line"))
+def debug_lines(spark: SparkSession, sf: str, grown: bool = True) -> DataFrame:
+    """A debug log per document: its first line at first, later all lines under another first line. Every ninth is empty."""
+    doc, first = F.col("doc_id"), F.col("line_id") == 0
+    stamp = F.when((doc % 2 == 0) & first, "2024-01-02T03:04:05.5Z  ").otherwise("")
+    lines = table(spark, sf, "documents").where(doc % 9 != 0).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_id", "line"))
+    lines = lines.withColumn("line", F.when(first, "changed").otherwise(F.col("line"))) if grown else lines.where(first)
     return lines.select(
         F.concat(F.lit("/src/debug/d"), _s(doc), F.lit(".txt")).alias("file_path"),
         F.lit(0).alias("block_start"),
@@ -248,11 +250,13 @@ def debug_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def debug_files(spark: SparkSession, sf: str) -> DataFrame:
+def debug_files(spark: SparkSession, sf: str, grown: bool = True) -> DataFrame:
+    doc = F.col("doc_id")
+    size = F.octet_length("text" if grown else F.substring_index("text", "\n", 1))
     return table(spark, sf, "documents").select(
-        F.concat(F.lit("/src/debug/d"), _s(F.col("doc_id")), F.lit(".txt")).alias("file_path"),
-        F.lit(EPOCH_MS).alias("mtime_ms"),
-        F.octet_length("text").cast("bigint").alias("file_size"),
+        F.concat(F.lit("/src/debug/d"), _s(doc), F.lit(".txt")).alias("file_path"),
+        F.lit(EPOCH_MS + int(grown)).alias("mtime_ms"),
+        F.when(doc % 9 != 0, size).otherwise(0).cast("bigint").alias("file_size"),
     )
 
 

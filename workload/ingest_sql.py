@@ -188,10 +188,11 @@ ORACLE = {
         CASE WHEN i % 2 = 0 THEN 'done' END AS status, lang AS active_form
       FROM {LINES} WHERE doc_id % 3 <> 0""",
     "i28_debug_logs": """SELECT concat('/src/debug/d', CAST(doc_id AS VARCHAR), '.txt') AS file_path, concat('d', CAST(doc_id AS VARCHAR)) AS session_id,
-        CASE WHEN doc_id % 2 = 0 THEN '2024-01-02 03:04:05' END AS timestamp,
-        trim(concat(CASE WHEN doc_id % 2 = 0 THEN '2024-01-02T03:04:05.5Z  ' ELSE '' END, string_split(text, chr(10))[1]),
-          concat(' ', chr(9), chr(13))) AS first_line,
-        CAST(len(string_split(text, chr(10))) AS INTEGER) AS line_count, CAST(strlen(text) AS BIGINT) AS size_bytes
+        CASE WHEN doc_id % 2 = 0 AND doc_id % 9 <> 0 THEN '2024-01-02 03:04:05' END AS timestamp,
+        CASE WHEN doc_id % 9 <> 0 THEN trim(concat(CASE WHEN doc_id % 2 = 0 THEN '2024-01-02T03:04:05.5Z  ' ELSE '' END, string_split(text, chr(10))[1]),
+          concat(' ', chr(9), chr(13))) ELSE '' END AS first_line,
+        CAST(CASE WHEN doc_id % 9 <> 0 THEN len(string_split(text, chr(10))) ELSE 0 END AS INTEGER) AS line_count,
+        CAST(CASE WHEN doc_id % 9 <> 0 THEN strlen(text) ELSE 0 END AS BIGINT) AS size_bytes
       FROM documents""",
     "i29_history": """SELECT concat('/src/history/', CASE WHEN doc_id % 7 <> 0 THEN concat(source, '/') ELSE '' END,
           CASE WHEN doc_id % 2 = 0 THEN concat('20240102T03', lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0'), '05_note_', lang, '_on-', CAST(doc_id AS VARCHAR), '-x.md')
