@@ -158,6 +158,7 @@ FIT = T.StructType(
 )
 _FIT_TYPES = (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64())
 EVERYTHING = "[]"  # the level of all rows
+SALTS = 64  # parts that a level's rows are dealt to where they meet its estimates
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
@@ -263,11 +264,16 @@ def level_name(*columns: str) -> Column:
     return F.to_json(F.array(*columns), {"ignoreNullFields": "false"})
 
 
+def beside(vectors: DataFrame, fits: DataFrame) -> DataFrame:
+    """Vectors with the estimates of their level. A level may hold all rows, so its estimates, a row, go to each of its parts."""
+    return vectors.join(fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["level", "salt"])
+
+
 def concentrated(vectors: DataFrame, rules: Rules) -> DataFrame:
-    """MCD estimates per level of `vectors` (level, vector), before they are mixed."""
+    """MCD estimates per level of `vectors` (level, vector, salt), before they are mixed."""
 
     def binned(fits: DataFrame) -> DataFrame:
-        d = vectors.join(fits, "level").withColumn("bin", F.floor(F.log2(F.greatest(distance(), F.lit(1e-6))) * 32))
+        d = beside(vectors, fits).withColumn("bin", F.floor(F.log2(F.greatest(distance(), F.lit(1e-6))) * 32))
         return d.groupBy("level", "bin").agg(*moments())
 
     open_ = written(starts(vectors), "quality-fit")
@@ -284,7 +290,7 @@ def concentrated(vectors: DataFrame, rules: Rules) -> DataFrame:
         if open_.isEmpty():
             break
     fits = written(reduce(DataFrame.unionByName, settled), "quality-fit")
-    inside = vectors.join(fits, "level").where(distance() <= chi_squared_quantile(rules.reweight, D))
+    inside = beside(vectors, fits).where(distance() <= chi_squared_quantile(rules.reweight, D))
     return written(solved(inside.groupBy("level").agg(*moments()), consistency(rules.reweight)), "quality-fit")
 
 
@@ -295,7 +301,8 @@ def fit(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     good = measured.where(~F.col("base_failed"))
     pair, lang = level_name("lang", "source"), level_name("lang")
-    vectors = written(good.select(F.explode(F.array(F.lit(EVERYTHING), lang, pair)).alias("level"), "vector"), "quality-vectors")
+    levels = good.select(F.explode(F.array(F.lit(EVERYTHING), lang, pair)).alias("level"), "vector")
+    vectors = written(levels.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "quality-vectors")
     fits = concentrated(vectors, rules)
     wide = np.diag(np.square(PRIOR_SPREAD * np.array(list(STATISTICS.values()))))
 
