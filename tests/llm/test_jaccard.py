@@ -3,11 +3,14 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import jaccard as J
-from tracewell.llm.components import components
+from tracewell.llm.components import SALTS, _least, components
 
 FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -93,10 +96,48 @@ def test_blocks_without_members(spark, monkeypatch):
     own = [f"w{i}" for i in range(80)]
     texts = {1: " ".join(own), 2: " ".join(own[:-1])}
     check(J.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect(), texts)
-    # found in the same block of a bucket, the pair counts in the piece of that block only
-    rows = [(bytes([k]), 5, 0, low, high, 1, t) for k, t in texts.items() for low, high in ((0, 1), (1, 1), (1, 2))]
-    members = spark.createDataFrame(rows, "key binary, bucket bigint, band int, low int, high int, block int, text string")
-    assert [r["n_links"] for r in J.verified(members, *J.bands_for()).collect()] == [1, 1]
+    # a pair in one of many blocks counts once, also where the blocks beside it are empty
+    rows = [(bytes([k]), 5, 0, 12, block, guide, texts[k]) for k, block, guide in ((1, 4, False), (2, 4, False), *((2, b, True) for b in range(12)))]
+    members = spark.createDataFrame(rows, "key binary, bucket bigint, band int, blocks int, block int, guide boolean, text string")
+    deltas = J.met(members, *J.bands_for())
+    assert {(r["key"][0], r["size"], len(r["delta"])) for r in deltas.collect()} == {(1, 76, 1), (2, 75, 0)}
+    assert [r["n_links"] for r in J.verified(deltas).collect()] == [1, 1]
+
+
+def test_blocks_by_differences_equal_full_sets():
+    rng = np.random.default_rng(5)
+    guide = np.unique(rng.integers(0, 1 << 62, 60))
+    sets = [np.unique(np.concatenate([rng.choice(guide, rng.integers(40, len(guide) + 1), replace=False), rng.integers(0, 99, rng.integers(0, 6))])) for _ in range(70)]
+    sets += [np.unique(rng.integers(0, 1 << 62, 30)), guide]  # a chance member of the bucket, and the guide itself
+    earlier = rng.integers(0, 9, (len(sets), 2))
+
+    def block(rows):
+        deltas = [np.setxor1d(guide, sets[r]) for r in rows]
+        return J.Block(None, np.array([len(sets[r]) for r in rows]), np.concatenate(deltas), np.cumsum([0, *map(len, deltas)]), earlier[rows])
+
+    left, right = np.arange(30), np.arange(30, len(sets))
+    found = J.linked_blocks(block(left), block(right), Fraction(4, 5))
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            assert found[i, j] == (9 * common >= 4 * (len(sets[a]) + len(sets[b])) and (earlier[a] != earlier[b]).all())
+    assert 0 < found.sum() < found.size
+
+
+def test_a_family_sends_each_text_once_per_bucket(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_TEXTS", 8)
+    own = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join([*own[:i], "x", *own[i + 1 :]]) for i in range(100)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    check(J.near_duplicates(docs).collect(), texts)
+    bands, rows = J.bands_for()
+    classes = J.signed(docs.withColumn("key", F.unhex(F.md5("text"))), bands, rows)
+    members = J.buckets(classes)
+    big = members.where("blocks > 1")
+    assert big.where("NOT guide").groupBy("key", "bucket").count().where("count > 1").isEmpty()
+    assert big.where("guide").groupBy("bucket").agg(F.countDistinct("key").alias("k"), F.count("*").alias("n"), F.first("blocks").alias("b")).where("k <> 1 OR n <> b").isEmpty()
+    deltas = J.met(members.join(classes.select("key").join(docs.withColumn("key", F.unhex(F.md5("text"))), "key"), "key"), bands, rows).where("delta IS NOT NULL")
+    assert deltas.agg(F.max(F.size("delta"))).first()[0] <= 20  # each text differs from the guide by two words at most
 
 
 def test_query(spark, sf):
@@ -132,3 +173,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, 2), (3, 2), (9, 9)] + [(50, 50 - i) for i in range(1, 9)]
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert {out[i] for i in range(100, 141)} == {100} and {out[i] for i in (1, 2, 3)} == {1} and {out[i] for i in range(42, 51)} == {42} and 9 not in out
+
+
+def test_components_spread_a_centre(spark):
+    star = spark.range(1, 4001).selectExpr("0L AS v", "id AS u")
+    least = _least(star.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS))).select(F.col("v").alias("u"), F.col("u").alias("v"), "salt"))
+    assert least.agg(F.count("*"), F.min("m"), F.max("m")).first() == (SALTS, 1, 1)
+    out = components(star)
+    assert out.count() == 4001 and out.where("root <> 0").isEmpty()
+    assert components(star.limit(0)).isEmpty()

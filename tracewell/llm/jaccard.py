@@ -6,11 +6,14 @@
    rows per band and bands such that a pair at the threshold is found with at least
    the target recall (0.9999); more similar pairs are found still more surely.
 3. Signatures shuffle on band hashes. Buckets with the same members in several bands are
-   visited once. Buckets are cut into blocks of bounded size, and each pair of blocks
-   meets in its own piece of work, so no bucket meets in one task.
-4. There, texts are shingled and every pair is verified on full sets: intersections of all
-   pairs at once as a matrix product. A pair counts in its first common band only.
-   Per text comes out its number of links and one neighbour: no row per pair.
+   visited once. Buckets are cut into blocks of bounded size, so no bucket meets in one task.
+4. A bucket of one block verifies every pair on full sets of shingles. A larger bucket sends
+   each text once, to its block, where it meets the bucket's guide (the shortest text) and
+   becomes its difference to the guide's set: few shingles in a family of near copies. Only
+   these differences travel to pairs of blocks, a piece of work each; |A xor B| of two texts is
+   |a xor b| of their differences, so sets are still compared in full.
+   All pairs of a piece are intersected at once as a matrix product. A pair counts in its
+   first common band only. Per text comes out its number of links and one neighbour: no row per pair.
 5. Connected components over links give groups.
 
 Null text counts as empty. Texts without words have no shingles and no links, though equal
@@ -21,7 +24,8 @@ an empty result. Extra columns are kept by `drop_near_duplicates` and ignored by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -40,6 +44,7 @@ MAX_HASHES = 192
 BLOCK_TEXTS = 512
 BLOCK_BYTES = 4 << 20
 COLUMNS_AT_ONCE = 2048
+DELTA_BLOCKS = 4  # blocks of texts whose differences make one block of differences
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -115,7 +120,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, class_id, bucket, band, low, high, side): each member of a bucket once per pair of blocks it belongs to."""
+    """(key, bucket, band, blocks, block, guide): each member of a bucket once, in its block; the guide of a bucket of several blocks once more in each."""
     entries = classes.select("key", "size", F.posexplode("bands").alias("band", "bucket"))
     kept = (
         entries.groupBy("bucket")
@@ -123,6 +128,7 @@ def buckets(classes: DataFrame) -> DataFrame:
             F.count("*").alias("n"),
             F.sum("size").alias("bytes"),
             F.min("band").alias("band"),
+            F.min(F.struct("size", "key")).alias("least"),
             F.bit_xor(F.xxhash64("key")).alias("same_xor"),
             F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("same_xor2"),
         )
@@ -131,18 +137,20 @@ def buckets(classes: DataFrame) -> DataFrame:
     # the same members in several bands: only the first band's bucket is visited
     kept = (
         kept.groupBy("n", "bytes", "same_xor", "same_xor2")
-        .agg(F.min(F.struct("band", "bucket")).alias("first"))
+        .agg(F.min(F.struct("band", "bucket", "least")).alias("first"))
         .select(
             F.col("first.bucket").alias("bucket"),
             F.col("first.band").alias("band"),
+            F.col("first.least.key").alias("least"),
             F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"),
         )
     )
     block = F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int")
-    members = entries.select("key", "bucket").join(kept, "bucket").withColumn("block", block)
-    return members.select(
-        "key", "bucket", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("key", "bucket", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+    own = F.array(F.struct(block.alias("block"), F.lit(False).alias("guide")))
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(True).alias("guide")))
+    places = F.when((F.col("key") == F.col("least")) & (F.col("blocks") > 1), F.concat(own, everywhere)).otherwise(own)
+    members = entries.select("key", "bucket").join(kept, "bucket")
+    return members.select("key", "bucket", "band", "blocks", F.explode(places).alias("place")).select("key", "bucket", "band", "blocks", "place.block", "place.guide")
 
 
 def linked_pairs(values: np.ndarray, at: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -173,22 +181,9 @@ def linked_pairs(values: np.ndarray, at: np.ndarray, threshold: Fraction) -> tup
     return np.nonzero(np.triu(linked, 1))
 
 
-def _piece(texts: pa.Array, band: int, block: np.ndarray, within: bool, bands: int, rows: int, n: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Of one pair of blocks of one bucket (`within`: a block and itself): per text its links that count here, and the index of its group's first text."""
-    values, at = shingles(texts, n)
-    i, j = linked_pairs(values, at, threshold)
-    if not within:  # pairs inside a block have a piece of their own, also where the other block is empty
-        across = block[i] != block[j]
-        i, j = i[across], j[across]
-    if len(i):
-        hashes = np.zeros((len(texts), bands), np.uint64)
-        some, found = _guarded(values, at, bands, rows)
-        hashes[some] = found
-        for earlier in range(band):
-            fits = hashes[i, earlier] != hashes[j, earlier]
-            i, j = i[fits], j[fits]
-    links = np.bincount(i, minlength=len(texts)) + np.bincount(j, minlength=len(texts))
-    root = np.arange(len(texts))
+def _least_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The index of the first of each one's group over links (i, j)."""
+    root = np.arange(n)
     while len(i):  # least label over links, until nothing changes
         before = root.copy()
         np.minimum.at(root, i, root[j])
@@ -196,26 +191,71 @@ def _piece(texts: pa.Array, band: int, block: np.ndarray, within: bool, bands: i
         root = root[root]
         if (root == before).all():
             break
-    return links, root
+    return root
 
 
-def verified(members: DataFrame, bands: int, rows: int, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, n_links, root) from `members` (key, bucket, band, low, high, block, text), one row per text and piece with a link."""
-    exact = Fraction(threshold).limit_denominator(10_000)
-    names = ["bucket", "low", "high"]
+def _whole_bucket(values: np.ndarray, at: np.ndarray, band: int, bands: int, rows: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket in one block: per text its links that count here, and the index of its group's first text."""
+    i, j = linked_pairs(values, at, threshold)
+    if len(i):
+        hashes = np.zeros((len(at) - 1, bands), np.uint64)
+        some, found = _guarded(values, at, bands, rows)
+        hashes[some] = found
+        for earlier in range(band):
+            fits = hashes[i, earlier] != hashes[j, earlier]
+            i, j = i[fits], j[fits]
+    links = np.bincount(i, minlength=len(at) - 1) + np.bincount(j, minlength=len(at) - 1)
+    return links, _least_labels(i, j, len(at) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rest: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            piece = pa.Table.from_batches(rest).combine_chunks()
-            if piece.num_rows < 2:
-                return None
-            links, root = _piece(pa.concat_arrays(piece["text"].chunks), piece["band"][0].as_py(), piece["block"].to_numpy(), piece["low"][0].as_py() == piece["high"][0].as_py(), bands, rows, n, exact)
+
+def _sets(values: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(values[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+
+def _on_end(lists: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    flat = np.concatenate(lists) if lists else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+MET = "key binary, n_links bigint, root binary, bucket bigint, band int, blocks int, block int, size bigint, delta array<bigint>, earlier array<bigint>"
+
+
+def met(members: DataFrame, bands: int, rows: int, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """Of `members` (as of `buckets`, with text), one block after the other: (key, n_links, root) where the bucket is this block, one row per text with
+    a link; else each member's number of shingles, its difference to the guide and its hashes of the bands before the bucket's."""
+    exact = Fraction(threshold).limit_denominator(10_000)
+    schema = pa.schema([("key", pa.binary()), ("n_links", pa.int64()), ("root", pa.binary()), *((c, pa.int64()) for c in ("bucket",)), *((c, pa.int32()) for c in ("band", "blocks", "block")), ("size", pa.int64()), ("delta", pa.list_(pa.int64())), ("earlier", pa.list_(pa.int64()))])
+
+    def made(count: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema)
+
+    def solve(piece: pa.Table) -> pa.RecordBatch | None:
+        if piece.num_rows < 2:
+            return None
+        bucket, band, blocks, block = (piece[c][0].as_py() for c in ("bucket", "band", "blocks", "block"))
+        keys = pa.concat_arrays(piece["key"].chunks)
+        values, at = shingles(pa.concat_arrays(piece["text"].chunks), n)
+        if blocks == 1:
+            links, root = _whole_bucket(values, at, band, bands, rows, exact)
             some = np.flatnonzero(links)
-            if not len(some):
-                return None
-            keys = pa.concat_arrays(piece["key"].chunks)
-            return pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.array(links[some].astype(np.int64)), keys.take(pa.array(root[some]))], names=["key", "n_links", "root"])
+            return made(len(some), key=keys.take(pa.array(some)), n_links=links[some], root=keys.take(pa.array(root[some]))) if len(some) else None
+        guide, *others = _sets(values, at)  # the guide comes first
+        count = len(others)
+        hashes = band_hashes(values[at[1] :], at[1:] - at[1], bands, rows)[:, :band]  # members of a bucket have shingles
+        return made(
+            count, key=keys[1:], bucket=np.full(count, bucket), band=np.full(count, band), blocks=np.full(count, blocks), block=np.full(count, block),
+            size=np.array([len(o) for o in others], np.int64), delta=_on_end([np.setxor1d(guide, o, assume_unique=True) for o in others]), earlier=_on_end(list(hashes)),
+        )
 
+    dealt = members.select("bucket", "block", "guide", "band", "blocks", "key", "text").repartition("bucket", "block")
+    return dealt.sortWithinPartitions("bucket", "block", F.desc("guide")).mapInArrow(_by_runs(["bucket", "block"], solve), MET)
+
+
+def _by_runs(names: list[str], solve: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of sorted rows, what `solve` makes of each run of equal values of `names`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -226,16 +266,98 @@ def verified(members: DataFrame, bands: int, rows: int, n: int = N, threshold: f
             for a, b in zip([0, *cut], [*cut, batch.num_rows]):
                 own = tuple(x[a] for x in ids)
                 if rest and own != last:
-                    if (out := solve(rest)) is not None:
+                    if (out := solve(pa.Table.from_batches(rest).combine_chunks())) is not None:
                         yield out
                     rest = []
                 last = own
                 rest.append(batch.slice(a, b - a))
-        if rest and (out := solve(rest)) is not None:
+        if rest and (out := solve(pa.Table.from_batches(rest).combine_chunks())) is not None:
             yield out
 
-    dealt = members.select(*names, "band", "block", "key", "text").repartition(*names).sortWithinPartitions(*names)
-    return dealt.mapInArrow(run, "key binary, n_links bigint, root binary")
+    return run
+
+
+@dataclass
+class Block:
+    """Texts of one block of differences to one guide."""
+
+    keys: pa.Array
+    sizes: np.ndarray
+    values: np.ndarray
+    at: np.ndarray
+    earlier: np.ndarray
+
+    @classmethod
+    def of(cls, piece: pa.Table, rows: np.ndarray) -> Block:
+        part = piece.take(pa.array(rows)).combine_chunks()
+        delta, earlier = (pa.concat_arrays(part[c].chunks) for c in ("delta", "earlier"))
+        at = np.concatenate([[0], np.cumsum(delta.value_lengths().to_numpy().astype(np.int64))])
+        hashes = earlier.flatten().to_numpy().reshape(len(rows), -1) if len(earlier.flatten()) else np.empty((len(rows), 0), np.int64)
+        return cls(pa.concat_arrays(part["key"].chunks), part["size"].to_numpy(), delta.flatten().to_numpy(), at, hashes)
+
+
+def linked_blocks(left: Block, right: Block, threshold: Fraction) -> np.ndarray:
+    """Which text of `left` is linked with which of `right` by full sets, where no earlier band has found them."""
+    shared = np.intersect1d(left.values, right.values)
+    sides = []
+    for side in (left, right):
+        column = np.minimum(np.searchsorted(shared, side.values), max(len(shared) - 1, 0))
+        hit = shared[column] == side.values if len(shared) else np.zeros(len(column), bool)
+        owner = np.repeat(np.arange(len(side.sizes)), np.diff(side.at))[hit]
+        column = column[hit]
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], owner[order], len(side.sizes)))
+    common = np.zeros((len(left.sizes), len(right.sizes)), np.float32)
+    for start in range(0, len(shared), COLUMNS_AT_ONCE):
+        x = []
+        for column, owner, count in sides:
+            a, b = np.searchsorted(column, [start, start + COLUMNS_AT_ONCE])
+            one = np.zeros((count, min(COLUMNS_AT_ONCE, len(shared) - start)), np.float32)
+            one[owner[a:b], column[a:b] - start] = 1
+            x.append(one)
+        common += x[0] @ x[1].T
+    p, q = threshold.numerator, threshold.denominator
+    lengths = np.diff(right.at)
+    linked = np.empty(common.shape, bool)
+    for k, (size, length) in enumerate(zip(left.sizes, np.diff(left.at))):  # a row at a time, so that 64-bit numbers stay few
+        both = size + right.sizes
+        apart = length + lengths - 2 * common[k].astype(np.int64)
+        linked[k] = (both - apart) * (p + q) >= 2 * p * both
+        for e in range(left.earlier.shape[1]):
+            linked[k] &= left.earlier[k, e] != right.earlier[:, e]
+    return linked
+
+
+def verified(deltas: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, n_links, root) of buckets of several blocks from what `met` has made of them, one row per text and piece with a link."""
+    exact = Fraction(threshold).limit_denominator(10_000)
+
+    def solve(piece: pa.Table) -> pa.RecordBatch | None:
+        low, high, block = piece["low"][0].as_py(), piece["high"][0].as_py(), piece["block"].to_numpy()
+        left = Block.of(piece, np.flatnonzero(block == low))
+        right = left if low == high else Block.of(piece, np.flatnonzero(block == high))
+        if not len(left.sizes) or not len(right.sizes):
+            return None
+        linked = linked_blocks(left, right, exact)
+        if low == high:
+            np.fill_diagonal(linked, False)
+            keys, links = left.keys, linked.sum(1)
+            i, j = np.nonzero(np.triu(linked))
+        else:
+            keys, links = pa.concat_arrays([left.keys, right.keys]), np.concatenate([linked.sum(1), linked.sum(0)])
+            i, j = np.nonzero(linked)
+            j = j + len(left.sizes)
+        root, some = _least_labels(i, j, len(links)), np.flatnonzero(links)
+        if not len(some):
+            return None
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.array(links[some].astype(np.int64)), keys.take(pa.array(root[some]))], names=["key", "n_links", "root"])
+
+    coarse = F.floor(F.col("block") / DELTA_BLOCKS).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("blocks") - 1) / DELTA_BLOCKS).cast("int")))
+    dealt = deltas.withColumn("block", coarse).withColumn("other", other)
+    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "size", "delta", "earlier")
+    names = ["bucket", "low", "high"]
+    return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(_by_runs(names, solve), "key binary, n_links bigint, root binary")
 
 
 def classes_and_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +377,9 @@ def classes_and_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     if not sig.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
         first = Window.partitionBy("key").orderBy("class_id")
         chosen = chosen.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    links = written(verified(members.join(chosen.select("key", "text"), "key"), bands, rows, n, threshold), "jaccard-links")
+    pieces = written(met(members.join(chosen.select("key", "text"), "key"), bands, rows, n, threshold), "jaccard-pieces")
+    small = pieces.where("delta IS NULL").select("key", "n_links", "root")
+    links = written(small.unionByName(verified(pieces.where("delta IS NOT NULL"), threshold)), "jaccard-links")
     groups = components(links.where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")))
     counted = links.groupBy("key").agg(F.sum("n_links").alias("n_links"))
     out = (
