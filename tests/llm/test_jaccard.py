@@ -132,7 +132,7 @@ def test_a_family_sends_each_text_once_per_bucket(spark, monkeypatch):
     check(J.near_duplicates(docs).collect(), texts)
     bands, rows = J.bands_for()
     classes = J.signed(docs.withColumn("key", F.unhex(F.md5("text"))), bands, rows)
-    members = J.buckets(classes)
+    members = J.placed(J.buckets(classes))
     big = members.where("blocks > 1")
     assert big.where("NOT guide").groupBy("key", "bucket").count().where("count > 1").isEmpty()
     assert big.where("guide").groupBy("bucket").agg(F.countDistinct("key").alias("k"), F.count("*").alias("n"), F.first("blocks").alias("b")).where("k <> 1 OR n <> b").isEmpty()

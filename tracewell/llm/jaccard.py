@@ -120,7 +120,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, bucket, band, blocks, block, guide): each member of a bucket once, in its block; the guide of a bucket of several blocks once more in each."""
+    """(key, bucket, band, blocks, guides): each member of a bucket once; the shortest of a bucket of several blocks guides them."""
     entries = classes.select("key", "size", F.posexplode("bands").alias("band", "bucket"))
     kept = (
         entries.groupBy("bucket")
@@ -145,12 +145,18 @@ def buckets(classes: DataFrame) -> DataFrame:
             F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"),
         )
     )
+    members = entries.select("key", "bucket").join(kept, "bucket")
+    return members.select("key", "bucket", "band", "blocks", ((F.col("key") == F.col("least")) & (F.col("blocks") > 1)).alias("guides"))
+
+
+def placed(members: DataFrame) -> DataFrame:
+    """Each member in its block, and the guide of a bucket of several blocks once more in each (`guide`). The other columns stay."""
     block = F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int")
     own = F.array(F.struct(block.alias("block"), F.lit(False).alias("guide")))
     everywhere = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(True).alias("guide")))
-    places = F.when((F.col("key") == F.col("least")) & (F.col("blocks") > 1), F.concat(own, everywhere)).otherwise(own)
-    members = entries.select("key", "bucket").join(kept, "bucket")
-    return members.select("key", "bucket", "band", "blocks", F.explode(places).alias("place")).select("key", "bucket", "band", "blocks", "place.block", "place.guide")
+    places = F.explode(F.when(F.col("guides"), F.concat(own, everywhere)).otherwise(own)).alias("place")
+    kept = [c for c in members.columns if c != "guides"]
+    return members.select(*kept, places).select(*kept, "place.block", "place.guide")
 
 
 def linked_pairs(values: np.ndarray, at: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +228,7 @@ MET = "key binary, n_links bigint, root binary, bucket bigint, band int, blocks
 
 
 def met(members: DataFrame, bands: int, rows: int, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Of `members` (as of `buckets`, with text), one block after the other: (key, n_links, root) where the bucket is this block, one row per text with
+    """Of `members` (as of `placed`, with text), one block after the other: (key, n_links, root) where the bucket is this block, one row per text with
     a link; else each member's number of shingles, its difference to the guide and its hashes of the bands before the bucket's."""
     exact = Fraction(threshold).limit_denominator(10_000)
     schema = pa.schema([("key", pa.binary()), ("n_links", pa.int64()), ("root", pa.binary()), *((c, pa.int64()) for c in ("bucket",)), *((c, pa.int32()) for c in ("band", "blocks", "block")), ("size", pa.int64()), ("delta", pa.list_(pa.int64())), ("earlier", pa.list_(pa.int64()))])
@@ -377,7 +383,7 @@ def classes_and_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     if not sig.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
         first = Window.partitionBy("key").orderBy("class_id")
         chosen = chosen.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    pieces = written(met(members.join(chosen.select("key", "text"), "key"), bands, rows, n, threshold), "jaccard-pieces")
+    pieces = written(met(placed(members.join(chosen.select("key", "text"), "key")), bands, rows, n, threshold), "jaccard-pieces")
     small = pieces.where("delta IS NULL").select("key", "n_links", "root")
     links = written(small.unionByName(verified(pieces.where("delta IS NOT NULL"), threshold)), "jaccard-links")
     groups = components(links.where("key <> root").select(F.col("key").alias("u"), F.col("root").alias("v")))
