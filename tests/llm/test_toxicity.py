@@ -55,6 +55,41 @@ def test_scores_equal_a_plain_sum():
     assert c.scores(texts) == pytest.approx([1 / (1 + X.np.exp(-m)) for m in want])
 
 
+@pytest.mark.parametrize("shift, climbs", [(0.0, False), (6.0, True)])
+def test_direction_equals_differences(shift, climbs):
+    rng = X.np.random.default_rng(4)
+    margin, n_pos, prior, h = rng.normal(0, 2, 40), 12, 0.3, 1e-5
+    margin[:n_pos] += 2 * shift  # positives that look toxic and unlabelled rows that look clean drive the negative part below zero
+    margin[n_pos:] -= shift
+    assert (X.risk(margin, n_pos, prior)[1] < 0) == climbs
+
+    def goal(m):
+        own, negative = X.risk(m, n_pos, prior)
+        return -negative if climbs else own + negative
+
+    steps = X.np.eye(len(margin)) * h
+    want = [(goal(margin + s) - goal(margin - s)) / (2 * h) for s in steps]
+    assert X.step_direction(margin, n_pos, prior) == pytest.approx(want, abs=1e-8)
+    losses = [[X.np.log(1 + X.np.exp(sign * m)) for m in part] for part, sign in ((margin[:n_pos], -1), (margin[n_pos:], 1), (margin[:n_pos], 1))]
+    a, b, c = (sum(x) / len(x) for x in losses)
+    assert X.risk(margin, n_pos, prior) == pytest.approx((prior * a, b - prior * c))
+
+
+def test_features_of_the_sample_equal_plain_counts(spark):
+    docs, labels, _ = corpus(900, 7)
+    rows, _ = X.sample_rows(spark.createDataFrame(docs, "doc_id bigint, text string, x string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    sample, plain = X.featured(rows), sorted((r["doc_id"], r["positive"], set(r["words"])) for r in rows.collect())
+    n_pos = sum(p for _, p, _ in plain)
+    words = sorted(set().union(*(w for _, _, w in plain)))
+    have = {w: (sum(p and w in ws for _, p, ws in plain), sum(not p and w in ws for _, p, ws in plain)) for w in words}
+    often = [w for w in words if sum(have[w]) >= X.MIN_SUPPORT]
+    chosen = X.features(X.np.array(often), *(X.np.array([have[w][k] for w in often]) for k in (0, 1)), n_pos, len(plain) - n_pos)
+    assert sample.chosen.tolist() == chosen.tolist() and {X.buckets(pa.array([w]))[0][0] for w in RUDE} <= set(chosen)
+    assert sample.positive.tolist() == [p for _, p, _ in plain]
+    for k, (_, _, ws) in enumerate(plain):
+        assert sample.chosen[sample.columns[sample.bounds[k] : sample.bounds[k + 1]]].tolist() == sorted(ws & set(chosen.tolist()))
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "", 2), (3, "word " * 100_000, 3), (3, "word " * 100_000, 3)], "doc_id bigint, text string, held_out int")
     labels = spark.createDataFrame([(3, 1), (3, 1), (None, 1), (9, None)], "doc_id bigint, toxic int")
