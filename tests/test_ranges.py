@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import os
 import random
 
@@ -200,3 +202,26 @@ def test_stream_of_growing_files(spark, tree, tmp_path):
     tree.write("a.txt", "uno\ndos\ntres y mas de lo que era antes\n", 1002)  # replaced and longer
     tree.write("d.txt", "late\n", 1002)
     assert drain() == [*grown, ("a.txt", "uno"), ("a.txt", "dos"), ("a.txt", "tres y mas de lo que era antes"), ("d.txt", "late")]
+
+
+def test_small_files_of_a_stream_share_tasks(tree):
+    for i in range(300):
+        tree.write(f"p{i % 7}/f{i}.jsonl", f"line {i}\nand more\nhalf", 1000 + i)
+    tree.write("long.jsonl", "x\n" * 100_000, 1000)
+    reader = growing.GrowingReader({"path": tree.root, "pattern": "*.jsonl", "tasks": "4", "split_bytes": "1000000"})
+    end = reader.latestOffset()
+    parts = reader.partitions({}, json.loads(json.dumps(end)))
+    whole = sum(len(p.ranges) for p in parts)
+    assert whole == 301 and len(parts) < 30 and len(json.dumps(end)) < 130 * 301
+    got = [r for p in parts for b in reader.read(p) for r in zip(b.column("file_path").to_pylist(), b.column("value").to_pylist())]
+    want = [(f"{tree.root}/p{i % 7}/f{i}.jsonl", v) for i in range(300) for v in (b"line %d" % i, b"and more")]
+    assert sorted(got) == sorted(want + [(f"{tree.root}/long.jsonl", b"x")] * 100_000)
+    assert len([b for p in parts for b in reader.read(p)]) <= len(parts) + 4
+    few = growing.GrowingReader({"path": tree.root, "pattern": "*.jsonl", "tasks": "4"})
+    assert 4 <= len(few.partitions({}, end)) <= 5
+    # an offset of an earlier checkpoint: whole paths, named fields, whole fingerprints
+    path = f"{tree.root}/p1/f1.jsonl"
+    old = {path: {"mtime_ms": 1, "size": 7, "end": 7, "head_bytes": 7, "head": hashlib.sha256(b"line 1\n").hexdigest(), "turn": 0}}
+    again = growing.GrowingReader({"path": tree.root, "pattern": "f1.jsonl", "tasks": "1"})
+    assert again.partitions({}, old)[0].ranges == [(path, 1, 0, 7, 7)]
+    assert [p.ranges for p in again.partitions(old, again.latestOffset())] == [[(path, 1001000, 7, 16, 16)]]
