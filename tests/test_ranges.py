@@ -8,8 +8,10 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
+from tracewell.operators import sidefeeds
 from tracewell.plans.sync import sync
 from tracewell.plans.warehouse import Warehouse
 from tracewell.sources import ranges as R
@@ -225,3 +227,36 @@ def test_small_files_of_a_stream_share_tasks(tree):
     again = growing.GrowingReader({"path": tree.root, "pattern": "f1.jsonl", "tasks": "1"})
     assert again.partitions({}, old)[0].ranges == [(path, 1, 0, 7, 7)]
     assert [p.ranges for p in again.partitions(old, again.latestOffset())] == [[(path, 1001000, 7, 16, 16)]]
+
+
+def test_index_files_are_read_once(spark, tree, tmp_path):
+    good = '{"originalPath":"/o","entries":[{"sessionId":"a","summary":"s"},{"sessionId":""},7,{"sessionId":"b","created":"never"}]}'
+    for name, text in (("p", good), ("q", "[1]"), ("r", '{"entries":{}}'), ("s", "{}"), ("t", "no json"), ("u", '{"entries":[]}')):
+        tree.write(f"projects/{name}/sessions-index.json", text, 1000)
+    read = []
+
+    def stage(rows):
+        path = str(tmp_path / f"rows{len(read)}")
+        read.append(path)
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    whole = R.read_whole(list_tree(spark, [(f"{tree.root}/projects", True)]))
+    entries, rejects = sidefeeds.index_entries(whole, stage)
+    assert len(read) == 1
+    for df in (entries, rejects):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
+    plain, plain_rejects = sidefeeds.index_entries(whole)
+    assert sorted(map(tuple, entries.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    rows = sorted((r.file_path.split("/")[-2], r.scope, r.line) for r in rejects.collect())
+    assert rows == sorted((r.file_path.split("/")[-2], r.scope, r.line) for r in plain_rejects.collect())
+    assert [r[:2] for r in rows] == [("p", "row"), ("p", "row"), ("q", "file"), ("r", "file")]
+    assert {r[2] for r in rows} == {"7", '{"created":"never","sessionId":"b"}', None}
+    assert [(r.session_id, r.entry_idx, r.project_path, r.summary) for r in entries.collect()] == [("a", 0, "/o", "s")]
+
+
+def test_small_files_share_batches(tmp_path):
+    one = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([b"x" * 1000])], names=["i", "value"]) for i in range(5000)]
+    got = list(R.merged(iter(one)))
+    assert len(got) < 10 and [i for b in got for i in b.column("i").to_pylist()] == list(range(5000))
+    assert list(R.merged(iter([]))) == []
